@@ -41,9 +41,9 @@ TRADE = {
     "INTEGRATED": "INTEGRATED", "INTEGR": "INTEGRATED", "INT": "INTEGRATED", "ANALOG": "ANALOG", "ANLG": "ANALOG", "CIRCUITS": "CIRCUITS", "CIRC": "CIRCUITS", "CKTS": "CIRCUITS",
     "PHOTONICS": "PHOTONICS", "PHOTON": "PHOTONICS", "PHOT": "PHOTONICS", "MICRO": "MICRO", "MICROSYSTEMS": "MICROSYSTEMS", "MICROSYS": "MICROSYSTEMS", "MD": "MICRODEVICES",
     "SILICON": "SILICON", "SI": "SILICON", "WORKS": "WORKS", "WKS": "WORKS", "TECHNOLOGIES": "TECHNOLOGIES", "TECHNOL": "TECHNOLOGIES", "TECHS": "TECHNOLOGIES", "TECH": "TECHNOLOGIES",
-    "SEMICONDUCTOR": "SEMICONDUCTOR", "SEMICOND": "SEMICONDUCTOR", "SEMICON": "SEMICONDUCTOR", "SEMI": "SEMICONDUCTOR",
+    "SEMICONDUCTOR": "SEMICONDUCTOR", "SEMICOND": "SEMICONDUCTOR", "SEMICON": "SEMICONDUCTOR", "SEMI": "SEMICONDUCTOR", "SC": "SEMICONDUCTOR",
 }
-_TAILS = sorted(TRADE, key=len, reverse=True)
+_TAILS = sorted(TRADE, key=len)
 _HEADS = sorted(MODIFIERS, key=len, reverse=True)
 _DIGITS = str.maketrans("0158", "OISB")
 MIN_CORE = 6
@@ -51,7 +51,7 @@ MIN_CORE = 6
 LOG_EDIT = math.log(0.01)  # one typing error
 LOG_DROPPED_TRADE = math.log(0.2)
 LOG_OWN = math.log(1e-7)  # a new company whose core lands within reach of another's
-TAIL = 4  # a name without a trade must keep the last letters of its core
+TAIL = 5  # a name without a trade must keep the last letters of its core
 
 
 def letters(name: str) -> list[str]:
@@ -92,19 +92,17 @@ def parses(name: str) -> list[tuple[str, str]]:
         whole = "".join(ws)
         return [(whole, "")] if whole else []
     out = [(core, trade)]
-    # words run together: take known heads and tails off, reading by reading
-    rest, tail = core, ""
+    # words run together: take known heads and tails off in every way, reading by reading
+    rest = core
     for h in _HEADS:
         if rest.startswith(h) and len(rest) - len(h) >= MIN_CORE:
             rest = rest[len(h):]
             out.append((rest, trade))
             break
-    while not trade and len(rest) >= MIN_CORE + 2:
-        cutoff = next((t for t in _TAILS if rest.endswith(t) and len(rest) - len(t) >= MIN_CORE), None)
-        if cutoff is None:
-            break
-        rest, tail = rest[: -len(cutoff)], TRADE[cutoff] + tail
-        out.append((rest, tail))
+    level = [(rest, "")] if not trade else []
+    while level:
+        level = [(c[: -len(t)], TRADE[t] + tail) for c, tail in level for t in _TAILS if c.endswith(t) and len(c) - len(t) >= MIN_CORE]
+        out += level
     return out
 
 
@@ -136,7 +134,7 @@ def log_likelihood(core: str, trade: str, of_core: str, of_trade: str) -> float:
     n = edits(core, of_core)
     if n > 2 or (n == 2 and min(len(core), len(of_core)) < 8):
         return -math.inf
-    if n and not (trade and of_trade) and (n > 1 or core[-TAIL:] != of_core[-TAIL:]):
+    if n and not (trade and of_trade) and core[-TAIL:] != of_core[-TAIL:]:
         return -math.inf
     return n * LOG_EDIT + (LOG_DROPPED_TRADE if trade != of_trade else 0.0)
 
