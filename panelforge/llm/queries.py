@@ -20,12 +20,12 @@ DATE_FIELDS = {"publication_date", "grant_date", "priority_date"}
 
 def patent_key(patent_id: str, country: str) -> Column:
     """Office, series and number of a patent number in any writing; NULL without a number."""
-    s = F.upper(F.regexp_replace(F.col(patent_id), r"[^A-Za-z0-9]", ""))
+    plain = F.translate(F.upper(F.col(patent_id)), " -/,.", "")  # the usual separators cost no pattern
+    s = F.when(plain.rlike("[^A-Z0-9]"), F.regexp_replace(plain, "[^A-Z0-9]", "")).otherwise(plain)
     office = F.upper(F.trim(F.col(country)))
     office = F.coalesce(F.when(office != "", office), F.when(s.rlike("^(US|EP|KR|WO|JP|CN|DE|FR|GB|TW|CA|AU)"), F.substring(s, 1, 2)), F.lit("?"))
     rest = F.when(s.startswith(office), F.substr(s, F.length(office) + 1)).otherwise(s)
-    pattern = r"^([A-Z]*)0*([0-9]+)([A-Z][0-9]{0,2})?$"
-    key = F.when(rest.rlike(pattern), F.concat_ws("|", office, F.regexp_extract(rest, pattern, 1), F.regexp_extract(rest, pattern, 2))).otherwise(F.concat_ws("|", office, rest))
+    key = F.concat_ws("|", office, F.regexp_replace(rest, r"^([A-Z]*)0*([0-9]+)(?:[A-Z][0-9]{0,2})?$", "$1|$2"))
     return F.when(is_filled(patent_id) & (s != ""), key)
 
 
