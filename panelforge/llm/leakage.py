@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.text import plain, words
+from panelforge.llm.text import chunks, plain, words
 
 MAX_BLOCK_WORDS = 1_000_000
 SLICE = 200_000
@@ -249,7 +249,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
 
         def find(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
             index = shipped.value
-            for pdf in batches:
+            for pdf in (part for batch in batches for part in chunks(batch, "text")):
                 rows = []
                 ids = [word_ids(words(t)) for t in pdf["text"]]
                 for doc, seq, cands in zip(pdf["doc_id"], ids, index.candidates(ids)):

@@ -11,6 +11,7 @@ expected counts (a table of fixed size), never texts.
 
 from __future__ import annotations
 
+import html
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,21 +39,21 @@ FUNCTION_WORDS = frozenset(
     "au aux avec ce ces cette comme dans de des deux du elle en est et etait il ils la le les leur lui mais ne nous on ou par pas plus pour qu que qui sa sans se ses son sont sur un une vers "
     "al como con cuando de del desde donde dos el ella en entre era es esta este fue ha hasta la las lo los mas muy no o para pero por que se segun ser si sin sobre son su sus un una y".split()
 )
-_BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|td|h\d)\b[^<>]*>", re.I)
+_BLOCK = re.compile(r"</?(?:p|div|li|ul|ol|tr|td|h\d)\b[^<>]*>", re.I)  # a line break inside running text is none
 _ANCHOR = re.compile(r"<a\b[^<>]*>(.*?)</a>", re.I | re.S)
 _MD_LINK = re.compile(r"\[([^\[\]]*)\]\([^()\s]*\)")
 _URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
 _OTHER_TAG = re.compile(r"<[^<>]{1,400}>")
 _SENTENCE = re.compile(r"(?<=[.!?:])[\"”»)]*\s+(?=[A-ZÀ-Þ\"“«¿¡#<\[*\d])|(?<=\x02)\s+(?=[A-ZÀ-Þ])|\s+(?=(?:\w+ ?: )?\x02)")
 _WORD = re.compile(r"[^\W_]+(?:[-/_'’.][^\W_]+)*")
-_MARKS = re.compile(r"[#★•·|;»«>*]|,| / ")
-_SHOUT = re.compile(r"!!|>>|\.\.\.|\b[A-Z]{3,} [A-Z]{3,}\b|click here", re.I)
+_MARKS = re.compile(r"[#★•·|;»«>*]|,(?!\d)| / ")
+_SHOUT = re.compile(r"!!|>>|\.\.\.|(?i:click here|buy now|order now)")
 _LINK = "\x02"
 
 
 def lines_of(text: str) -> list[str]:
     """Lines of a page; links stand as a control character before their text."""
-    t = _BLOCK.sub("\n", text)
+    t = _BLOCK.sub("\n", html.unescape(text) if "&" in text else text)
     t = _ANCHOR.sub(lambda m: f" {_LINK} {m.group(1)} ", t)
     t = _MD_LINK.sub(lambda m: f" {_LINK} {m.group(1)} ", t)
     t = _URL.sub(f" {_LINK} ", t)
@@ -61,8 +62,9 @@ def lines_of(text: str) -> list[str]:
     for line in t.split("\n"):
         for s in _SENTENCE.split(line):
             tokens = s.split()
-            for k in range(0, len(tokens), PIECE):
-                piece = " ".join(tokens[k : k + PIECE])
+            size = -(-len(tokens) // max(1, -(-len(tokens) // PIECE)))  # even pieces, no stray last word
+            for k in range(0, len(tokens), max(1, size)):
+                piece = " ".join(tokens[k : k + size])
                 if piece:
                     out.append(piece)
     return out
@@ -72,8 +74,15 @@ def _level(x: float, *bounds: float) -> int:
     return sum(x >= b for b in bounds)
 
 
-def features(line: str) -> tuple[tuple[int, ...], int] | None:
-    """Classes of a line's features and its number of words; None for a line without any."""
+def _content(w: str) -> bool:
+    return w not in FUNCTION_WORDS and not w.isdigit()
+
+
+def features(line: str, heavy: frozenset[str] = frozenset()) -> tuple[tuple[int, ...], int] | None:
+    """Classes of a line's features and its number of words; None for a line without any.
+
+    ``heavy`` are the page's overused words (see :func:`page_lines`).
+    """
     links = line.count(_LINK)
     ws = [w.lower() for w in _WORD.findall(strip_marks(line))]
     n = len(ws) + links
@@ -83,19 +92,28 @@ def features(line: str) -> tuple[tuple[int, ...], int] | None:
     if figures >= 0.6:  # a row of a table of figures is running text here
         return (len(PRIOR["prose"][0]) - 1, 0, 0, 0, 0, 0), n
     function = sum(w in FUNCTION_WORDS for w in ws) / n
-    counts = Counter(w for w in ws if w not in FUNCTION_WORDS and not w.isdigit())
-    top = max(counts.values(), default=0)
+    top = max(Counter(w for w in ws if _content(w)).values(), default=0)
+    stuffed = sum(w in heavy for w in ws) / n
     codes = sum(any(c.isdigit() for c in w) and any(c.isalpha() for c in w) and len(w) >= 5 and w[4] != "q" for w in ws) / n
     return (
-        _level(function, 0.06, 0.16, 0.26),
+        1 if n <= 3 and not links and function == 0 else _level(function, 0.06, 0.16, 0.26),  # a few words tell little
         _level(links / n, 0.04, 0.15),
-        _level(len(_MARKS.findall(line)) / n, 0.16, 0.3),
-        _level(top / n, 0.13, 0.2) if top >= 3 else 0,
+        _level(len(_MARKS.findall(line)) / n, 0.2, 0.34),
+        max(_level(top / n, 0.13, 0.2) if top >= 3 else 0, _level(stuffed, 0.15, 0.25)),
         _level(codes, 0.15, 0.35),
         int(len(_SHOUT.findall(line)) / n > 0.1),
     ), n
 
 
+def page_lines(text: str) -> list[tuple[tuple[int, ...], int]]:
+    """Features of all lines of a page; words that make up a twelfth of it are overused."""
+    lines = lines_of(text)
+    counts = Counter(w for line in lines for w in (x.lower() for x in _WORD.findall(strip_marks(line))))
+    total = sum(counts.values())
+    heavy = frozenset(w for w, k in counts.items() if k >= 5 and 12 * k >= total and _content(w))
+    return [f for f in (features(line, heavy) for line in lines) if f]
+
+
 def encode(f: tuple[int, ...]) -> int:
     code = 0
     for x, k in zip(f, LEVELS):
@@ -234,7 +252,7 @@ def coded_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for pdf in batches:
             codes, sizes = [], []
             for t in pdf["text"]:
-                got = [f for f in map(features, lines_of(t)) if f]
+                got = page_lines(t)
                 codes.append([encode(f) for f, _ in got])
                 sizes.append([n for _, n in got])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "codes": codes, "words": sizes})

@@ -5,6 +5,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(
@@ -41,3 +44,10 @@ def strip_marks(text: str) -> str:
 def words(text: str | None) -> list[str]:
     """Lower-case words without accents; a null text has none."""
     return _WORD.findall(strip_marks(plain(text)).lower()) if text else []
+
+
+def chunks(pdf: pd.DataFrame, column: str, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Parts of a batch with about so many characters each, so that long texts do not pile up."""
+    sizes = pdf[column].map(lambda t: len(t) if t else 0).cumsum() // chars
+    for _, part in pdf.groupby(sizes.to_numpy(), sort=False):
+        yield part
