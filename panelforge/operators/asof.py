@@ -14,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.plans.lineage import cut
+
 EVENTS_PER_BUCKET = 50_000
+STATES_PER_BUCKET = 200_000
 
 
 def current_states(versions: DataFrame, entity: str, available: str, order: Column, payload: list[str]) -> DataFrame:
@@ -59,11 +62,10 @@ def asof_attributes(events: DataFrame, entity: str, day: str, states: DataFrame,
     NULLs or none. Nothing that became available after the event's day is seen.
     """
     e = events.select(*keep, F.col(entity).alias("__entity"), F.col(day).alias("__day"))
-    v = states.select(F.col(state_entity).alias("__entity"), F.col(available).alias("__available"), *payload)
+    v = cut(states.select(F.col(state_entity).alias("__entity"), F.col(available).alias("__available"), *payload))
     # how many buckets an entity's events need; one row per entity, counted before the shuffle
     loads = e.groupBy("__entity").agg(F.ceil(F.count("*") / EVENTS_PER_BUCKET).cast("int").alias("__parts"))
-    total = events.count()
-    buckets = max(8, -(-total // EVENTS_PER_BUCKET))
+    buckets = max(8, -(-events.count() // EVENTS_PER_BUCKET), -(-v.count() // STATES_PER_BUCKET))
     part = F.pmod(F.xxhash64(*keep), F.coalesce(F.col("__parts"), F.lit(1))).cast("int")
 
     def bucket(p: Column) -> Column:
