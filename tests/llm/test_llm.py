@@ -61,11 +61,18 @@ def test_large_groups_by_blocks(spark, monkeypatch):
         data.append((i, "hot", " ".join(ws), 1 + rng.randrange(4), TS(2020, 1, 1) + dt.timedelta(minutes=i), ""))
     whole = [survive(spark, data, lead) for lead in (True, False)]
     monkeypatch.setattr(survivor, "BLOCK", 12)
-    monkeypatch.setattr(survivor, "FAN_IN", 3)
     assert [survive(spark, data, lead) for lead in (True, False)] == whole
     assert whole[1]["hot"][1] == " ".join(base)
 
 
+def test_align_to():
+    a = "A B C D".split()
+    assert survivor.align_to(a, a) == [(i + 1, 0, x) for i, x in enumerate(a)]
+    assert survivor.align_to(a, "A X C".split()) == [(1, 0, "A"), (2, 0, "X"), (3, 0, "C"), (4, 0, "")]
+    assert survivor.align_to(a, "Q R A B C D".split())[:3] == [(0, 1, "Q"), (0, 2, "R"), (1, 0, "A")]
+    assert survivor.align_to([], ["A"]) == [(0, 1, "A")] and survivor.align_to(["A"], []) == [(1, 0, "")]
+
+
 def test_patent_key(spark):
     same = ["US400360947B1", " US-400360947-B2 ", "US 400,360,947 B1", "US0400360947A", "400360947", "US/400360947", "us400360947b1"]
     df = spark.createDataFrame([(s, "US") for s in same] + [("USRE400360947E", "US"), ("RE400,360,947E", "US"), ("400360947", "EP"), (None, "US"), ("N/A", "US"), (" ", "US")], "p string, c string")
