@@ -67,7 +67,8 @@ def _survivors(spark: SparkSession, d: str, which: str, lead: bool) -> DataFrame
         rows, key, fields = table(spark, d, which).withColumn("grp", patent_key("patent_id", "country_code")), "record_id", PATENT_FIELDS
     else:
         r = table(spark, d, which)
-        rows, key, fields = r.join(registry_groups(r), "registry_id").withColumn("grp", F.col("company").cast("string")), "registry_id", REGISTRY_FIELDS
+        wanted = r.select("registry_id", "provider", "retrieved_at", *REGISTRY_FIELDS)
+        rows, key, fields = wanted.join(registry_groups(r), "registry_id").withColumn("grp", F.col("company").cast("string")), "registry_id", REGISTRY_FIELDS
     rows = _ranked(rows, ranks)
     priority = [(-F.col("rank")).alias("trust"), F.col("retrieved_at")]
     got = survivor.survivors(rows, "grp", key, {f: _filled(f) for f in fields}, priority, 1.0 / F.col("rank"), lead)
@@ -118,7 +119,7 @@ def name_guide(registry: DataFrame) -> DataFrame:
         return F.explode(F.split(F.col(col), ";"))
 
     groups = registry_groups(registry)
-    own = registry.join(groups, "registry_id").select("company", listed("assignee_prefixes").alias("prefix"))
+    own = registry.select("registry_id", "assignee_prefixes").join(groups, "registry_id").select("company", listed("assignee_prefixes").alias("prefix"))
     other = registry.select(listed("exclusions").alias("prefix"))
     rows = own.unionByName(other.select((-F.abs(F.xxhash64(F.upper(F.trim("prefix"))) / 2).cast("bigint") - 1).alias("company"), "prefix"))
     return rows.select("company", F.regexp_replace("prefix", "%", "").alias("prefix")).where(is_filled("prefix")).distinct()
