@@ -12,7 +12,7 @@ class PaneStore:
     """Panes of all batches so far, as Parquet folders in a shared directory, one per batch.
 
     A batch's folder is written whole and overwritten if the batch is retried, so a
-    restart counts no event twice. ``compact`` folds old folders into one.
+    restart counts no event twice.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
