@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.text import chunks, plain, words
+from panelforge.llm.text import chunks, plain, spread, words
 
 MAX_BLOCK_WORDS = 1_000_000
 SLICE = 200_000
@@ -259,9 +259,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
                             rows.append((doc, item, share, n))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "passages"])
 
-        part = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-            find, "doc_id bigint, item_id bigint, share double, passages int"
-        )
+        rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+        part = spread(rows).mapInPandas(find, "doc_id bigint, item_id bigint, share double, passages int")
         out = part if out is None else out.unionByName(part)
     assert out is not None
     return out

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.llm.text import spread
 from panelforge.plans.lineage import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -51,7 +52,7 @@ def with_tokens(docs: DataFrame, keep: list[str], text: str, tokenizer: str = TO
             pdf["tokens"] = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf.pop("__text")]
             yield pdf
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInPandas(count, schema + ", tokens bigint")
+    return spread(docs.select(*keep, F.col(text).alias("__text"))).mapInPandas(count, schema + ", tokens bigint")
 
 
 @dataclass

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.text import strip_marks
+from panelforge.llm.text import spread, strip_marks
 from panelforge.plans.lineage import cut
 
 STATES = ("prose", "link list", "tag list", "menu")
@@ -258,7 +258,7 @@ def coded_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "codes": codes, "words": sizes})
 
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(code, "doc_id bigint, codes array<int>, words array<int>")
+    return spread(rows).mapInPandas(code, "doc_id bigint, codes array<int>, words array<int>")
 
 
 def train(lines: DataFrame, iterations: int = 2, weight: float = 0.3) -> Model:

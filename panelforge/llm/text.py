@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import DataFrame
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(
@@ -51,3 +52,9 @@ def chunks(pdf: pd.DataFrame, column: str, chars: int = 4_000_000) -> Iterator[p
     sizes = pdf[column].map(lambda t: len(t) if t else 0).cumsum() // chars
     for _, part in pdf.groupby(sizes.to_numpy(), sort=False):
         yield part
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a small input comes in fewer partitions; large inputs stay as they are read."""
+    sc = df.sparkSession.sparkContext
+    return df.repartition(2 * sc.defaultParallelism) if df.rdd.getNumPartitions() < sc.defaultParallelism else df
