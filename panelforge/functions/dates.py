@@ -25,7 +25,7 @@ def parse_date(x: Column | str) -> Column:
     day may follow), day month-name year, month-name day year, and numeric
     month/day/year; padding is ignored. Never throws under ANSI mode.
     """
-    s = F.trim(F.regexp_replace(_c(x), r"[ \s]+", " "))
+    s = F.trim(F.translate(_c(x), "\u00a0\t\r\n", "    "))
 
     def month(group: int, pattern: str) -> Column:
         name = F.upper(F.substring(F.regexp_extract(s, pattern, group), 1, 3))
@@ -35,19 +35,20 @@ def parse_date(x: Column | str) -> Column:
     def part(group: int, pattern: str) -> Column:
         return F.regexp_extract(s, pattern, group)
 
-    ymd = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[T ].*)?$"
+    ymd = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?:[T ].*)?$"
     packed = r"^(\d{4})(\d{2})(\d{2})(?:[T ].*)?$"
     dmy = r"^(\d{1,2})[-/. ]+([A-Za-z]{3,9})[-/., ]+(\d{4})$"
     mdy = r"^([A-Za-z]{3,9})[-/. ]+(\d{1,2})[,./ -]+(\d{4})$"
     us = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
-    iso = (
-        F.when(s.rlike(ymd), F.concat_ws("-", part(1, ymd), part(2, ymd), part(3, ymd)))
-        .when(s.rlike(packed), F.concat_ws("-", part(1, packed), part(2, packed), part(3, packed)))
-        .when(s.rlike(dmy), F.concat(part(3, dmy), F.lit("-"), month(2, dmy), F.lit("-"), part(1, dmy)))
-        .when(s.rlike(mdy), F.concat(part(3, mdy), F.lit("-"), month(1, mdy), F.lit("-"), part(2, mdy)))
-        .when(s.rlike(us), F.concat_ws("-", part(3, us), part(1, us), part(2, us)))
+    # the usual writing needs no pattern: a cast reads year-month-day and what may follow it
+    return (
+        F.when(s.rlike(r"^\d{4}-"), F.when(F.length(s) >= 8, s.try_cast("date")))
+        .when(s.rlike(packed), F.regexp_replace(s, packed, "$1-$2-$3").try_cast("date"))
+        .when(s.rlike(ymd), F.regexp_replace(s, ymd, "$1-$2-$3").try_cast("date"))
+        .when(s.rlike(dmy), F.concat(part(3, dmy), F.lit("-"), month(2, dmy), F.lit("-"), part(1, dmy)).try_cast("date"))
+        .when(s.rlike(mdy), F.concat(part(3, mdy), F.lit("-"), month(1, mdy), F.lit("-"), part(2, mdy)).try_cast("date"))
+        .when(s.rlike(us), F.regexp_replace(s, us, "$3-$1-$2").try_cast("date"))
     )
-    return iso.try_cast("date")
 
 
 def parse_yyyymmdd(x: Column | str) -> Column:
