@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.dates import is_filled, parse_date
 from panelforge.llm import leakage, mixing, names, spam, survivor
 from panelforge.operators.components import components
+from panelforge.plans.lineage import cut
 from panelforge.plans.oracle_text import sql_date, sql_filled
 from panelforge.session import table
 
@@ -128,7 +129,7 @@ def name_guide(registry: DataFrame) -> DataFrame:
 def audit_entities(spark: SparkSession, d: str) -> DataFrame:
     audit = table(spark, d, "assignee_match_audit")
     classes = names.attribute(audit, "harmonized_name", name_guide(table(spark, d, "universe_registry")))
-    return audit.select("audit_id", F.upper(F.trim("harmonized_name")).alias("spelling")).join(classes, "spelling")
+    return cut(audit.select("audit_id", F.upper(F.trim("harmonized_name")).alias("spelling")).join(classes, "spelling").select("audit_id", "entity"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -161,8 +162,6 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    from panelforge.plans.lineage import cut
-
     docs = table(spark, d, "documents").select("doc_id", "text", mixing.source_key("source").alias("src"))
     return cut(mixing.with_tokens(docs, ["doc_id", "src"], "text"))
 
