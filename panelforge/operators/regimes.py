@@ -22,7 +22,7 @@ FIT_SCHEMA = (
     "n_params int, bic double, n_obs int, em_converged boolean, restarts_at_best int, restart_spread double, qs array<int>, p_high_filtered array<double>, p_high_smoothed array<double>, path array<int>"
 )
 MIN_PATENT_OBS, MIN_PATENT_NONZERO, MIN_FIN_OBS = 20, 8, 16
-WEIGHTS = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0)
+WEIGHTS = (0.0, 0.05, 0.1, 0.25, 0.5, 1.0)
 FEASIBLE_LAG = 6
 
 

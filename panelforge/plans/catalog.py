@@ -736,10 +736,9 @@ def ablation_switches(spark, d):
 
 @query()
 def expanding_hmm(spark, d):
-    """Point-in-time regime probabilities, refitted each year on what was known by then."""
+    """Point-in-time regime probabilities, refitted each quarter on what was known by then."""
     g = _ablation_grid(spark, d)
     lo, hi = g.agg(F.min("q"), F.max("q")).first()
-    ticks = [q for q in range(lo, hi + 1) if q % 4 == 3]
-    return regimes.expanding_fits(g, ticks, weights=(0.1, 1.0), first_runs=5, max_iter=200)
+    return regimes.expanding_fits(g, list(range(lo, hi + 1)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.models import hmm
 from panelforge.operators import collapse, facts, islands, panel, regimes, routing, stats
+from panelforge.plans import catalog
 
 D = dt.date
 
@@ -207,3 +208,22 @@ def test_seed_matches_python(spark):
 def test_gates_leave_short_series_out(spark):
     df = spark.createDataFrame([("A", q, 1 + q % 3) for q in range(10)] + [(None, q, 1) for q in range(30)], "ticker string, q int, n bigint")
     assert regimes.fit_regimes(df, runs=2).count() == 0
+
+
+def test_expanding_query_runs_the_whole_job(spark, sf, monkeypatch):
+    """Every quarter is a tick, with the reference's weights, runs and iterations."""
+    got = {}
+    monkeypatch.setattr(regimes, "expanding_fits", lambda grid, ticks, **kw: got.update(ticks=ticks, kw=kw))
+    catalog.expanding_hmm(spark, sf)
+    assert len(got["ticks"]) > 8 and got["ticks"] == list(range(got["ticks"][0], got["ticks"][-1] + 1)) and got["kw"] == {}
+    assert regimes.WEIGHTS == (0.0, 0.05, 0.1, 0.25, 0.5, 1.0)
+
+
+def test_expanding_fits_weights(spark):
+    rng = np.random.default_rng(4)
+    data = [("A", q, int(rng.poisson(5 + 20 * (q // 8 % 2))), float(rng.normal(0.4 + 0.2 * (q // 8 % 2), 0.05)), q, float(rng.normal(0.1, 0.1)), q) for q in range(40)]
+    g = spark.createDataFrame(data, "ticker string, q int, n int, gm double, gm_known int, yoy double, yoy_known int")
+    out = regimes.expanding_fits(g, [38, 39]).toPandas()
+    assert set(out.model) == {"A_feas", "A_orac", "B", "C", "Cw_0.0", "Cw_0.05", "Cw_0.1", "Cw_0.25", "Cw_0.5", "Cw_1.0"} and len(out) == 20 and out.p_high.between(0, 1).all()
+    b, w = (out[out.model == m].set_index("q").p_high for m in ("B", "Cw_0.0"))
+    assert np.allclose(b, w, atol=0.02)  # a weight of nought leaves the counts out
