@@ -122,11 +122,26 @@ def agreement(fits: DataFrame, a: str = "nb2", b: str = "po2") -> DataFrame:
     return j.select("ticker", (100.0 * same / F.size("pa")).alias("agreement_pct"), (F.col("bb") - F.col("ba")).alias("bic_gain"))
 
 
+def known_grid(counts: DataFrame, fin: DataFrame) -> DataFrame:
+    """The grid of ``expanding_fits``: every quarter from a ticker's first of either kind to the last of all tickers.
+
+    ``counts``: ticker, q, n, not cut; ``fin``: ticker, q, gm, gm_known, yoy, yoy_known.
+    Counts are NULL before a ticker's first application and zero wherever none is
+    filed after it; what is not yet known at a tick is masked there, not here.
+    """
+    keys = fin.select("ticker", "q").unionByName(counts.select("ticker", "q")).where(F.col("ticker").isNotNull())
+    span = keys.groupBy("ticker").agg(F.min("q").alias("lo")).crossJoin(keys.agg(F.max("q").alias("hi")))
+    grid = span.select("ticker", F.explode(F.sequence("lo", "hi")).alias("q"))
+    first = counts.groupBy("ticker").agg(F.min("q").alias("first_n"))
+    n = F.when(F.col("q") >= F.col("first_n"), F.coalesce("n", F.lit(0))).alias("n")
+    return grid.join(first, "ticker", "left").join(counts, ["ticker", "q"], "left").join(fin, ["ticker", "q"], "left").select("ticker", "q", n, "gm", "gm_known", "yoy", "yoy_known")
+
+
 def expanding_fits(grid: DataFrame, ticks: list[int], weights: tuple[float, ...] = WEIGHTS, first_runs: int = 10, max_iter: int = 500) -> DataFrame:
     """``ticker, q, model, p_high``: the filtered probability of the high state at each tick, refitted on what was known.
 
-    ``grid``: ticker, q (dense from the first quarter of either kind), n (NULL before the
-    first application), gm, gm_known, yoy, yoy_known (quarter index by whose end the
+    ``grid``: ticker, q (dense from the first quarter of either kind to the last tick), n
+    (NULL before the first application, zeros real after it), gm, gm_known, yoy, yoy_known (quarter index by whose end the
     figure is filed). A refit starts from the last one's solution, so the ticks of an
     entity are worked in order; entities are independent.
     """
@@ -186,4 +201,4 @@ def filter_probabilities(counts: DataFrame, mus: list[float], r: float, step: li
     return series(counts, "ticker", "q", ["n"]).mapInPandas(work, "ticker string, q int, p_high double")
 
 
-__all__ = ["seed_of", "seed_hash", "series", "fit_regimes", "fit_ablation", "fit_states", "agreement", "expanding_fits", "filter_probabilities", "q_label"]
+__all__ = ["seed_of", "seed_hash", "series", "fit_regimes", "fit_ablation", "fit_states", "agreement", "known_grid", "expanding_fits", "filter_probabilities", "q_label"]

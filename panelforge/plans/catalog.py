@@ -712,8 +712,12 @@ def implementation_agreement(spark, d):
     return regimes.agreement(regimes.fit_regimes(_patent_grid(spark, d)))
 
 
+def _channels(spark, d):
+    return _panel(spark, d).select("ticker", "q", "gm", "yoy", q_index("gm_filed").alias("gm_known"), q_index("yoy_filed").alias("yoy_known"))
+
+
 def _ablation_grid(spark, d):
-    p = _panel(spark, d).select("ticker", "q", "gm", "yoy", q_index("gm_filed").alias("gm_known"), q_index("yoy_filed").alias("yoy_known"))
+    p = _channels(spark, d)
     n = _patent_grid(spark, d)
     keys = p.select("ticker", "q").unionByName(n.select("ticker", "q"))
     span = keys.groupBy("ticker").agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
@@ -737,7 +741,7 @@ def ablation_switches(spark, d):
 @query()
 def expanding_hmm(spark, d):
     """Point-in-time regime probabilities, refitted each quarter on what was known by then."""
-    g = _ablation_grid(spark, d)
+    g = regimes.known_grid(collapse.quarterly_counts(patent_apps(spark, d)), _channels(spark, d))
     lo, hi = g.agg(F.min("q"), F.max("q")).first()
     return regimes.expanding_fits(g, list(range(lo, hi + 1)))
 

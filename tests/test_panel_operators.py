@@ -227,3 +227,26 @@ def test_expanding_fits_weights(spark):
     assert set(out.model) == {"A_feas", "A_orac", "B", "C", "Cw_0.0", "Cw_0.05", "Cw_0.1", "Cw_0.25", "Cw_0.5", "Cw_1.0"} and len(out) == 20 and out.p_high.between(0, 1).all()
     b, w = (out[out.model == m].set_index("q").p_high for m in ("B", "Cw_0.0"))
     assert np.allclose(b, w, atol=0.02)  # a weight of nought leaves the counts out
+
+
+def test_known_grid_keeps_the_tail(spark):
+    """The last filing years stay, quarters after the last filing are zero, and every ticker has every tick."""
+    rng = np.random.default_rng(5)
+    counts = spark.createDataFrame([("A", q, int(3 + rng.poisson(4 + 15 * (q // 6 % 2)))) for q in range(100, 140)], "ticker string, q int, n bigint")
+    fin = spark.createDataFrame([("A", 98, 0.5, 99, None, None), ("B", 145, 0.4, 146, None, None)], "ticker string, q int, gm double, gm_known int, yoy double, yoy_known int")
+    g = regimes.known_grid(counts, fin)
+    n = {(r.ticker, r.q): r.n for r in g.collect()}
+    assert sorted(q for t, q in n if t == "A") == list(range(98, 146)) and [q for t, q in n if t == "B"] == [145]
+    assert n["A", 99] is None and all(n["A", q] > 0 for q in range(100, 140)) and all(n["A", q] == 0 for q in range(140, 146)) and n["B", 145] is None
+    p = {(r.model, r.q): r.p_high for r in regimes.expanding_fits(g, [139, 145], first_runs=3).collect()}
+    y = np.array([n["A", q] for q in range(100, 140)], dtype=float)
+    want = hmm.fit([hmm.Channel("patent_count", "nb", y)], 2, "patent_count", 3, seed=regimes.seed_of("A", "A_orac", "34Q4"))
+    assert abs(p["A_orac", 139] - want.filtered[-1, 1]) < 1e-9 and p["A_orac", 145] < 0.5 and {m for m, _ in p} == {"A_feas", "A_orac"}
+
+
+def test_expanding_query_sees_the_last_filings(spark, sf, monkeypatch):
+    got = []
+    monkeypatch.setattr(regimes, "expanding_fits", lambda grid, ticks, **kw: got.append(grid))
+    catalog.expanding_hmm(spark, sf)
+    apps = catalog.patent_apps(spark, sf).where("filing is not null and ticker is not null").count()
+    assert got[0].agg(F.sum("n")).first()[0] == apps
