@@ -728,13 +728,13 @@ def _ablation_grid(spark, d):
 @query()
 def fusion_fit(spark, d):
     """Ablation: counts only, financial channels only, both; two and three states."""
-    f = regimes.fit_ablation(_ablation_grid(spark, d), runs=10)
+    f = regimes.fit_ablation(_ablation_grid(spark, d))
     return f.drop("qs", "p_high_filtered", "p_high_smoothed", "path")
 
 
 @query()
 def ablation_switches(spark, d):
-    s = regimes.fit_states(regimes.fit_ablation(_ablation_grid(spark, d), runs=10).where("n_states = 2"))
+    s = regimes.fit_states(regimes.fit_ablation(_ablation_grid(spark, d)).where("n_states = 2"))
     return islands.persistent_switches(s, ["ticker", "model"], "q", "p_high_filtered")
 
 

@@ -1,6 +1,7 @@
 """Panel operators on small fixtures and against numpy."""
 
 import datetime as dt
+import inspect
 import itertools
 import math
 
@@ -250,3 +251,12 @@ def test_expanding_query_sees_the_last_filings(spark, sf, monkeypatch):
     catalog.expanding_hmm(spark, sf)
     apps = catalog.patent_apps(spark, sf).where("filing is not null and ticker is not null").count()
     assert got[0].agg(F.sum("n")).first()[0] == apps
+
+
+def test_ablation_queries_use_all_restarts(spark, sf, monkeypatch):
+    got, real = [], regimes.fit_ablation
+    monkeypatch.setattr(regimes, "fit_ablation", lambda *a, **kw: got.append(inspect.signature(real).bind(*a, **kw)) or real(*a, **kw))
+    catalog.fusion_fit(spark, sf), catalog.ablation_switches(spark, sf)
+    for b in got:
+        b.apply_defaults()
+    assert [b.arguments["runs"] for b in got] == [20, 20]
