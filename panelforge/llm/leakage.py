@@ -103,12 +103,34 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def reach(a: np.ndarray, b: np.ndarray, ends: dict[int, list[int]], max_edit: float, least: int) -> int:
+    """Longest prefix of ``a`` that ends, with a prefix of ``b``, in one of ``ends`` within ``max_edit``; else 0.
+
+    ``ends``: prefix lengths of ``a`` with those of ``b``. One table of word edit
+    distances serves all ends; it is left when no longer prefix can be within.
+    """
+    idx = np.arange(len(b) + 1)
+    row = idx.copy()
+    best, allowed = 0, max_edit * len(a)
+    for i, x in enumerate(a, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (b != x))
+        row = np.minimum.accumulate(new - idx) + idx
+        if i in ends and i >= least and min(row[j] for j in ends[i]) <= max_edit * i:
+            best = i
+        if row.min() > allowed:
+            break
+    return best
+
+
 def passages(item: np.ndarray, doc: np.ndarray, p: Params) -> list[tuple[int, int]]:
     """Spans of the item found in the document, each within ``max_edit`` of its words.
 
     Runs of equal words on a diagonal are chained over at most two altered, dropped
-    or added words; a chain's span is kept if its exact edit distance to the
-    document's span allows it, otherwise its ends are cut back to where it does.
+    or added words. A chain may begin at any run and end at any run it leads to; of
+    every beginning the longest span is kept whose exact edit distance to the
+    document's span allows it, unless it lies inside another one.
     """
     order = np.argsort(doc, kind="stable")
     sorted_doc = doc[order]
@@ -128,22 +150,34 @@ def passages(item: np.ndarray, doc: np.ndarray, p: Params) -> list[tuple[int, in
     size = np.diff(np.append(first, len(ii)))
     keep = size >= 2
     runs = sorted(zip(jj[first[keep]].tolist(), ii[first[keep]].tolist(), size[keep].tolist()))
-    # best chain ending in each run
-    chains: list[list] = []  # [matched, i0, j0, i1, j1]
-    for j, i, n in runs:
-        best = None
-        for c in reversed(chains[-40:]):
-            gi, gj = i - c[3], j - c[4]
-            if -1 <= gi <= 3 and -1 <= gj <= 3 and i + n > c[3] and (best is None or c[0] > best[0]):
-                best = c
-        chains.append([best[0] + n, best[1], best[2], i + n, j + n] if best else [n, i, j, i + n, j + n])
-    out = []
-    for matched, i0, j0, i1, j1 in sorted(chains, reverse=True):
-        n = i1 - i0
-        if n < p.min_passage or any(a <= i0 and i1 <= b for a, b in out):
+    # the runs that may follow each run, found by where they begin; a follower always stands later
+    at = {(i, j): k for k, (j, i, _) in enumerate(runs)}
+    after = [[k for gi in range(-1, 4) for gj in range(-1, 4) if (k := at.get((i + n + gi, j + n + gj))) is not None and runs[k][1] + runs[k][2] > i + n] for j, i, n in runs]
+    far = [i + n for _, i, n in runs]
+    for k in range(len(runs) - 1, -1, -1):
+        far[k] = max([far[k], *(far[x] for x in after[k])])
+    found: list[tuple[int, int]] = []
+    for k in sorted(range(len(runs)), key=lambda k: runs[k][1] - far[k]):
+        j0, i0, _ = runs[k]
+        if far[k] - i0 < p.min_passage:
+            break
+        if any(a <= i0 and far[k] <= b for a, b in found):
             continue
-        if edit_distance(item[i0:i1], doc[max(j0, 0):j1]) <= p.max_edit * n:
-            out.append((i0, i1))
+        seen, todo, ends = {k}, [k], {}
+        while todo:
+            j, i, n = runs[x := todo.pop()]
+            ends.setdefault(i + n - i0, []).append(j + n - j0)
+            new_ones = set(after[x]) - seen
+            seen |= new_ones
+            todo += new_ones
+        width = max(max(v) for v in ends.values())
+        n = reach(item[i0 : far[k]], doc[j0 : j0 + width], ends, p.max_edit, p.min_passage)
+        if n:
+            found.append((i0, i0 + n))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda s: s[0] - s[1]):
+        if not any(x <= a and b <= y for x, y in out):
+            out.append((a, b))
     return out
 
 

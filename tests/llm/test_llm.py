@@ -190,6 +190,48 @@ def test_edit_distance():
         assert leakage.edit_distance(np.array(a), np.array(b)) == survivor.distance(a, b)
 
 
+def substring_distance(a, doc):
+    """Least word edit distance of a sequence to any stretch of the document, by a plain table."""
+    row = [0] * (len(doc) + 1)
+    for x in a:
+        new = [row[0] + 1]
+        for j, y in enumerate(doc):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_passages_after_a_reworded_opening():
+    item, doc = np.arange(100), np.arange(100)
+    doc[[k for k in range(30) if k % 5 >= 2]] += 1000  # two equal words, three altered ones
+    for turned in (1, -1):  # an opening, then an ending
+        got = leakage.passages(item[::turned], doc[::turned], leakage.Params())
+        assert max(b - a for a, b in got) >= 70 and all(substring_distance(item[::turned][a:b].tolist(), doc[::turned].tolist()) <= 0.15 * (b - a) for a, b in got)
+
+
+def test_passages_against_a_plain_table():
+    """Every kept span is within the limit, and no verbatim or lightly altered stretch is lost whatever stands around it."""
+    rng, p = random.Random(12), leakage.Params()
+    for _ in range(60):
+        item, doc, sure = list(range(60)), [], set()
+        at = 0
+        while at < 60:
+            n = rng.randrange(8, 25)
+            part, kind = item[at : at + n], rng.choice(("same", "light", "heavy"))
+            if kind == "light" and len(part) >= 20:
+                part[10] = 5000 + at
+            if kind == "heavy":
+                part = [x if k % 5 < 2 else 7000 + x for k, x in enumerate(part)]
+            if kind != "heavy" and len(part) >= 8:
+                sure |= set(range(at, at + len(part)))
+            doc += part
+            at += n
+        doc = [9000 + k for k in range(5)] + doc
+        got = leakage.passages(np.array(item), np.array(doc), p)
+        assert all(substring_distance(item[a:b], doc) <= p.max_edit * (b - a) and b - a >= p.min_passage for a, b in got)
+        assert sure <= {x for a, b in got for x in range(a, b)}
+
+
 # -------------------------------------------------------------------- mixing
 
 VOCAB = os.path.exists(mixing.TOKENIZER)
