@@ -232,6 +232,14 @@ def test_passages_against_a_plain_table():
         assert sure <= {x for a, b in got for x in range(a, b)}
 
 
+def test_passages_of_an_item_with_a_refrain():
+    """A word pair that stands 60 times between the altered words of a passage breaks no chain."""
+    item = [x for k in range(60) for x in (1, 2, 100 + 2 * k, 101 + 2 * k, 300 + k, 500 + k, 700 + k)]
+    doc = [5000 + x if 700 <= x else x for x in item]  # every seventh word altered
+    got = leakage.passages(np.array(item), np.array(doc), leakage.Params())
+    assert sum(b - a for a, b in got) >= len(item) - 1
+
+
 # -------------------------------------------------------------------- mixing
 
 VOCAB = os.path.exists(mixing.TOKENIZER)
