@@ -16,6 +16,7 @@ on whole, windows in slices.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -181,20 +182,37 @@ def passages(item: np.ndarray, doc: np.ndarray, p: Params) -> list[tuple[int, in
     return out
 
 
-def own_words(texts: dict[int, str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _sentences(text: str | None) -> list[list[str]]:
+    return [s for s in (words(x) for x in _SENTENCE.split(plain(text or ""))) if s]
+
+
+def stock_sentences(items: DataFrame, item_id: str, text: str) -> set[str]:
+    """Sentences that stand in more than one item of the whole table."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, s) for k, t in zip(pdf["k"], pdf["t"]) for s in {" ".join(x) for x in _sentences(t)}]
+            yield pd.DataFrame(rows, columns=["k", "s"])
+
+    rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("bigint").alias("k"), F.col(text).alias("t"))
+    found = rows.mapInPandas(split, "k bigint, s string").groupBy("s").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi")
+    return {x.s for x in found.select("s").collect()}
+
+
+def own_words(texts: dict[int, str], stock: set[str] | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Per item: its word ids, and which of them are its own.
 
-    A sentence that stands in several items is a stock sentence and belongs to none.
+    A sentence that stands in several items is a stock sentence and belongs to none;
+    ``stock`` has those of the whole table, without it those of ``texts`` count.
     """
-    sentences = {k: [s for s in (words(x) for x in _SENTENCE.split(plain(t or ""))) if s] for k, t in texts.items()}
-    seen: dict[str, int] = {}
-    for ss in sentences.values():
-        for s in {" ".join(x) for x in ss}:
-            seen[s] = seen.get(s, 0) + 1
+    sentences = {k: _sentences(t) for k, t in texts.items()}
+    if stock is None:
+        seen = Counter(s for ss in sentences.values() for s in {" ".join(x) for x in ss})
+        stock = {s for s, n in seen.items() if n > 1}
     out = {}
     for k, ss in sentences.items():
         flat = [w for s in ss for w in s]
-        own = [seen[" ".join(s)] == 1 or len(texts) == 1 for s in ss for _ in s]
+        own = [" ".join(s) not in stock for s in ss for _ in s]
         out[k] = (word_ids(flat), np.array(own, dtype=bool))
     return out
 
@@ -265,7 +283,11 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[dict[int, str
     blocks = max(1, -(-(sizes["c"] or 0) // (5 * MAX_BLOCK_WORDS)))
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b).select(item_id, text).collect()  # at most a block
-        yield {r[0]: r[1] for r in rows if r[0] is not None}
+        texts: dict[int, set[str]] = {}
+        for k, t in rows:
+            if k is not None:
+                texts.setdefault(k, set()).update([t] if t else [])
+        yield {k: " .\n".join(sorted(v)) for k, v in texts.items()}
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", p: Params = Params()) -> DataFrame:
@@ -274,12 +296,14 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     Returns ``doc_id, item_id, share, passages``; one row per pair. Null or empty
     texts carry nothing; repeated rows of a document repeat its rows; rows with a
     null id are left aside; empty tables give no rows. Stock sentences (standing in
-    more than one item) are nobody's own.
+    more than one item of the table) are nobody's own; different texts under one item
+    id are parts of that item.
     """
     spark: SparkSession = docs.sparkSession
     out: DataFrame | None = None
+    stock = stock_sentences(items, item_id, text)
     for block in _blocks(items, item_id, text):
-        shipped = spark.sparkContext.broadcast(Index(own_words(block), p))
+        shipped = spark.sparkContext.broadcast(Index(own_words(block, stock), p))
 
         def find(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
             index = shipped.value

@@ -167,6 +167,17 @@ def test_blocks_of_items_and_long_texts(spark, monkeypatch):
     assert [tuple(r)[:2] for r in leakage.leaks(d, it).collect()] == [(1, 4)]
 
 
+def test_stock_sentences_across_blocks(spark, monkeypatch):
+    """What an item's own words are does not depend on the size of a block; repeated ids keep all their texts."""
+    rng = random.Random(13)
+    stock, other = " ".join(sentence(rng) for _ in range(2)), sentence(rng, 40)
+    items = [(i, f"{stock} {sentence(rng)}") for i in range(9)] + [(20, other), (20, other), (20, sentence(rng, 20))]
+    d, it = spark.createDataFrame([(1, stock), (2, other)], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for size in (1_000_000, 30):
+        monkeypatch.setattr(leakage, "MAX_BLOCK_WORDS", size)
+        assert [tuple(r)[:2] for r in leakage.leaks(d, it).collect()] == [(2, 20)]
+
+
 def test_lsh_recall():
     """Windows with one altered or dropped word are found by a key in at least nine of ten cases."""
     rng = random.Random(10)
