@@ -40,8 +40,26 @@ def series(df: DataFrame, key: str, q: str, columns: list[str]) -> DataFrame:
     g = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("ticker")).agg(F.sort_array(F.collect_list(F.struct(F.col(q).alias("q"), *columns))).alias("a"))
     out = g.select("ticker", F.col("a.q").alias("qs"), *[F.col(f"a.{c}").alias(c) for c in columns])
     # a stated number of partitions: left to itself the planner would put these few heavy rows into one task
-    spread = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(spread, F.col("ticker"))
+    # (and the same number as the aggregation's would be taken for the same partitioning, and coalesced)
+    return out.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("ticker"))
+
+
+ENTITIES_AT_ONCE = 256  # entities whose fits share arrays; bounds memory, results do not depend on it
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a task in groups of a bounded number, whatever the sizes of the batches."""
+    held, size = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        size += len(pdf)
+        while size >= ENTITIES_AT_ONCE:
+            whole = pd.concat(held, ignore_index=True)
+            yield whole.iloc[:ENTITIES_AT_ONCE]
+            held = [whole.iloc[ENTITIES_AT_ONCE:]]
+            size = len(held[0])
+    if size:
+        yield pd.concat(held, ignore_index=True)
 
 
 def _row(ticker: str, model: str, family: str, qs, f: hmm.Fit) -> dict:
@@ -64,46 +82,55 @@ def usable(y: np.ndarray) -> bool:
     return len(v) >= MIN_PATENT_OBS and int((v > 0).sum()) >= MIN_PATENT_NONZERO and float(v.var()) > 0
 
 
-def fit_regimes(counts: DataFrame, runs: int = 20) -> DataFrame:
+def fit_regimes(counts: DataFrame, runs: int = 20, models: tuple[str, ...] = ()) -> DataFrame:
     """Negative-binomial models of two and three states, Poisson of two, and a normal one on log counts.
 
     ``counts``: ticker, q, n (dense). Entities below the data gates give no rows.
+    ``models`` names those wanted (none named: all four).
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
+        for pdf in _groups(batches):
+            heads, todo = [], []
             for t, qs, n in zip(pdf["ticker"], pdf["qs"], pdf["n"]):
                 y = _arr(n)
                 if not usable(y):
                     continue
                 for model, family, k in (("nb2", "nb", 2), ("nb3", "nb", 3), ("po2", "poisson", 2), ("ga2", "normal", 2)):
-                    c = hmm.Channel("count", family, np.log1p(y) if family == "normal" else y)
-                    out.append(_row(t, model, family, qs, hmm.fit([c], k, runs=runs, seed=seed_of(t, model))))
-            yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in FIT_SCHEMA.split(", ")])
+                    if models and model not in models:
+                        continue
+                    heads.append((t, model, family, qs))
+                    todo.append(hmm.Problem([hmm.Channel("count", family, np.log1p(y) if family == "normal" else y)], k, None, runs, seed_of(t, model)))
+            yield pd.DataFrame([_row(*h, f) for h, f in zip(heads, hmm.fit_many(todo))], columns=[c.strip().split(" ")[0] for c in FIT_SCHEMA.split(", ")])
 
     return series(counts, "ticker", "q", ["n"]).mapInPandas(work, FIT_SCHEMA)
 
 
-def fit_ablation(grid: DataFrame, runs: int = 20) -> DataFrame:
+def fin_usable(gm: np.ndarray, yoy: np.ndarray) -> bool:
+    """The gate of the financial channels: enough quarters with either, both moving."""
+    either = np.isfinite(gm) | np.isfinite(yoy)
+    return bool(either.sum() >= MIN_FIN_OBS and np.isfinite(gm).sum() > 1 and np.isfinite(yoy).sum() > 1 and np.nanvar(gm) > 0 and np.nanvar(yoy) > 0)
+
+
+def fit_ablation(grid: DataFrame, runs: int = 20, states: tuple[int, ...] = (2, 3)) -> DataFrame:
     """Models of counts only (A), financial channels only (B) and both (C), of two and three states.
 
     ``grid``: ticker, q, n, gm, yoy; nulls are missing quarters.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
+        for pdf in _groups(batches):
+            heads, todo = [], []
             for t, qs, n, gm, yoy in zip(pdf["ticker"], pdf["qs"], pdf["n"], pdf["gm"], pdf["yoy"]):
                 y, g, z = _arr(n), _arr(gm), _arr(yoy)
-                fin_ok = int((np.isfinite(g) | np.isfinite(z)).sum()) >= MIN_FIN_OBS and np.isfinite(g).sum() > 1 and np.isfinite(z).sum() > 1 and np.nanvar(g) > 0 and np.nanvar(z) > 0
                 a = [hmm.Channel("patent_count", "nb", y)] if usable(y) else []
-                b = [hmm.Channel("gross_margin", "normal", g), hmm.Channel("revenue_yoy", "normal", z)] if fin_ok else []
-                for k in (2, 3):
+                b = [hmm.Channel("gross_margin", "normal", g), hmm.Channel("revenue_yoy", "normal", z)] if fin_usable(g, z) else []
+                for k in states:
                     for model, chans, by in (("A", a, "patent_count"), ("B", b, "gross_margin"), ("C", a + b if a and b else [], "patent_count")):
                         if chans:
-                            out.append(_row(t, f"{model}{k}", "+".join(c.family for c in chans), qs, hmm.fit(chans, k, by, runs, seed=seed_of(t, model, k))))
-            yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in FIT_SCHEMA.split(", ")])
+                            heads.append((t, f"{model}{k}", "+".join(c.family for c in chans), qs))
+                            todo.append(hmm.Problem(chans, k, by, runs, seed_of(t, model, k)))
+            yield pd.DataFrame([_row(*h, f) for h, f in zip(heads, hmm.fit_many(todo))], columns=[c.strip().split(" ")[0] for c in FIT_SCHEMA.split(", ")])
 
     return series(grid, "ticker", "q", ["n", "gm", "yoy"]).mapInPandas(work, FIT_SCHEMA)
 
@@ -146,46 +173,56 @@ def expanding_fits(grid: DataFrame, ticks: list[int], weights: tuple[float, ...]
     entity are worked in order; entities are independent.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                qs = np.array(r.qs)
-                n, gm, gk, yoy, yk = (_arr(getattr(r, c)) for c in ("n", "gm", "gm_known", "yoy", "yoy_known"))
-                warm: dict[str, hmm.Params] = {}
-                for t in ticks:
-                    m = qs <= t
-                    if not m.any() or qs[m][-1] != t:
-                        continue
+    def problems(r, t: int) -> Iterator[tuple[str, list[hmm.Channel], str]]:
+        qs, n, gm, gk, yoy, yk = r
+        m = qs <= t
+        if not m.any() or qs[m][-1] != t:
+            return
+        orac = n[m]
+        feas = np.where(qs[m] <= t - FEASIBLE_LAG, orac, np.nan)
+        known_g, known_y = np.where(gk[m] <= t, gm[m], np.nan), np.where(yk[m] <= t, yoy[m], np.nan)
+        start = int(np.flatnonzero(np.isfinite(orac))[0]) if np.isfinite(orac).any() else len(orac)
+        rest = [hmm.Channel("gross_margin", "normal", known_g), hmm.Channel("revenue_yoy", "normal", known_y)]
+        counted, told = usable(feas), fin_usable(known_g, known_y)
+        if counted:
+            yield "A_feas", [hmm.Channel("patent_count", "nb", feas[start:])], "patent_count"
+        if usable(orac):
+            yield "A_orac", [hmm.Channel("patent_count", "nb", orac[start:])], "patent_count"
+        if told:
+            yield "B", rest, "gross_margin"
+        if counted and told:
+            yield "C", [hmm.Channel("patent_count", "nb", feas), *rest], "patent_count"
+            for w in weights:
+                yield f"Cw_{w}", [hmm.Channel("patent_count", "nb", feas, w), *rest], "gross_margin"
 
-                    def put(key: str, chans: list[hmm.Channel], by: str) -> None:
-                        f = hmm.fit(chans, 2, by, first_runs, max_iter, seed=seed_of(r.ticker, key, f"{t // 4}Q{t % 4 + 1}"), warm=warm.get(key))
-                        warm[key] = f.params
-                        out.append((r.ticker, t, key, float(f.filtered[-1, 1])))
-
-                    orac = n[m]
-                    feas = np.where(qs[m] <= t - FEASIBLE_LAG, orac, np.nan)
-                    known_g, known_y = np.where(gk[m] <= t, gm[m], np.nan), np.where(yk[m] <= t, yoy[m], np.nan)
-                    start = int(np.flatnonzero(np.isfinite(orac))[0]) if np.isfinite(orac).any() else len(orac)
-                    ok = usable(feas)
-                    if ok:
-                        put("A_feas", [hmm.Channel("patent_count", "nb", feas[start:])], "patent_count")
-                    if usable(orac):
-                        put("A_orac", [hmm.Channel("patent_count", "nb", orac[start:])], "patent_count")
-                    both = np.isfinite(known_g) | np.isfinite(known_y)
-                    fin = both.sum() >= MIN_FIN_OBS and np.isfinite(known_g).sum() > 1 and np.isfinite(known_y).sum() > 1 and np.nanvar(known_g) > 0 and np.nanvar(known_y) > 0
-                    if fin:
-                        put("B", [hmm.Channel("gross_margin", "normal", known_g), hmm.Channel("revenue_yoy", "normal", known_y)], "gross_margin")
-                    if ok and fin:
-                        rest = [hmm.Channel("gross_margin", "normal", known_g), hmm.Channel("revenue_yoy", "normal", known_y)]
-                        put("C", [hmm.Channel("patent_count", "nb", feas), *rest], "patent_count")
-                        for w in weights:
-                            put(f"Cw_{w}", [hmm.Channel("patent_count", "nb", feas, w), *rest], "gross_margin")
-            yield pd.DataFrame(out, columns=["ticker", "q", "model", "p_high"])
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _groups(batches):
+            rows = [(r.ticker, (np.array(r.qs), *(_arr(getattr(r, c)) for c in ("n", "gm", "gm_known", "yoy", "yoy_known")))) for r in pdf.itertuples(index=False)]
+            warm: dict[tuple[str, str], hmm.Params] = {}
+            # all models of all entities of a tick are one batch of arrays; the next tick starts from their solutions
+            for t in ticks:
+                heads, todo = [], []
+                for ticker, r in rows:
+                    for key, chans, by in problems(r, t):
+                        heads.append((ticker, key))
+                        todo.append(hmm.Problem(chans, 2, by, first_runs, seed_of(ticker, key, f"{t // 4}Q{t % 4 + 1}"), warm.get((ticker, key))))
+                fits = hmm.fit_many(todo, max_iter)
+                warm.update({h: f.params for h, f in zip(heads, fits)})
+                yield pd.DataFrame([(tk, t, key, float(f.filtered[-1, 1])) for (tk, key), f in zip(heads, fits)], columns=["ticker", "q", "model", "p_high"])
 
     return series(grid, "ticker", "q", ["n", "gm", "gm_known", "yoy", "yoy_known"]).mapInPandas(work, "ticker string, q int, model string, p_high double")
 
 
+def wide_probabilities(probs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """``ticker, q`` and one column per model of :func:`expanding_fits` (``Cw_0.1`` becomes ``cw_0_1``)."""
+    models = {"A_feas": "a_feas", "A_orac": "a_orac", "B": "b", "C": "c"} | {f"Cw_{w}": weight_column(w) for w in weights}
+    return probs.groupBy("ticker", "q").agg(*[F.max(F.when(F.col("model") == m, F.col("p_high"))).alias(c) for m, c in models.items()])
+
+
+def weight_column(w: float) -> str:
+    return f"cw_{w}".replace(".", "_")
+
+
 def filter_probabilities(counts: DataFrame, mus: list[float], r: float, step: list[list[float]], start: list[float]) -> DataFrame:
     """Filtered probability of the highest state under a fixed model: ``ticker, q, p_high``."""
 
