@@ -6,7 +6,7 @@ A quarter is an INT index ``4 * year + quarter - 1`` for arithmetic; text forms
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Placeholders that stand for a missing value (compared in upper case).
@@ -51,6 +51,17 @@ def parse_date(x: Column | str) -> Column:
     )
 
 
+def with_days(df: DataFrame, days: dict[str, str], *keep: Column | str) -> DataFrame:
+    """``keep`` columns and a DATE column per entry of ``days`` (name -> text column), each text read once.
+
+    The dates come out of a one-element explode: filters on them stay above it, so the
+    long reading expression stands once in the plan and not in every later predicate.
+    """
+    kept = df.select(*keep).columns
+    parsed = F.struct(*[parse_date(source).alias(name) for name, source in days.items()])
+    return df.select(*keep, F.explode(F.array(parsed)).alias("__days")).select(*kept, *[F.col(f"__days.{n}").alias(n) for n in days])
+
+
 def parse_yyyymmdd(x: Column | str) -> Column:
     """DATE of an INT yyyymmdd; 0, negative, impossible or out of 1700-2100: NULL."""
     d = F.call_function("try_to_date", _c(x).cast("string"), F.lit("yyyyMMdd"))

@@ -28,7 +28,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = cut(small.where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
+        # two independent 64-bit digests of the set of edges
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u", F.lit(1)).cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.plans.lineage import cut
+
 TOLERANCE_DAYS = 5
 DAY_SLACK = 10
 
@@ -22,8 +24,22 @@ def valid_facts(facts: DataFrame) -> DataFrame:
     return f.withColumn("kind", duration_class("start", "end")).where("kind is not null")
 
 
-def cluster_periods(facts: DataFrame, keys: list[str], tolerance: int = TOLERANCE_DAYS) -> DataFrame:
-    """Facts with ``cluster``: periods whose ends lie within the tolerance of their neighbour's.
+def filings_by_period(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts brought down to one row per period (as written) and tag, before anything is joined.
+
+    ``a``/``z``: first and last filing with ``a_at``/``z_at`` (date, then accession); ``days``:
+    the distinct dates of filing (calendar-bounded). A group with very many facts
+    costs one partial aggregate per task.
+    """
+    at = F.struct("filed", "accn")
+    return facts.groupBy(*keys, "start", "end", "tag_idx").agg(
+        F.min_by(F.struct("val", "filed", "form", "fiscal_label", "tag", "start", "end"), at).alias("a"), F.min(at).alias("a_at"),
+        F.max_by(F.struct("val", "filed"), at).alias("z"), F.max(at).alias("z_at"), F.collect_set("filed").alias("days"),
+    )
+
+
+def cluster_periods(filings: DataFrame, keys: list[str], tolerance: int = TOLERANCE_DAYS) -> DataFrame:
+    """Rows of :func:`filings_by_period` with ``cluster``: periods whose ends lie within the tolerance of their neighbour's.
 
     Distinct ends are clustered, not facts, so a group brings at most one row per
     calendar day to the window. Clusters whose starts or ends spread beyond the
@@ -31,7 +47,7 @@ def cluster_periods(facts: DataFrame, keys: list[str], tolerance: int = TOLERANC
     fold over the cluster's distinct periods (a handful), in which a period joins the
     first earlier one within the tolerance at both ends.
     """
-    periods = facts.groupBy(*keys, "start", "end").agg(F.min(F.struct("tag_idx", "filed", "accn")).alias("first_seen"))
+    periods = filings.groupBy(*keys, "start", "end").agg(F.min(F.struct("tag_idx", F.col("a_at.filed").alias("filed"), F.col("a_at.accn").alias("accn"))).alias("first_seen"))
     ends = periods.select(*keys, "end").distinct()
     w = Window.partitionBy(*keys).orderBy("end")
     gap = F.coalesce(F.datediff("end", F.lag("end").over(w)) > tolerance, F.lit(True))
@@ -60,22 +76,20 @@ def cluster_periods(facts: DataFrame, keys: list[str], tolerance: int = TOLERANC
     tight = per.where("tight_s and tight_e").select(*keys, "island", "ps", F.transform("ps", lambda x: F.lit(0)).alias("part"))
     loose = per.where("not (tight_s and tight_e)").select(*keys, "island", "ps", fold(F.transform("ps", lambda x: x["start"]), F.transform("ps", lambda x: x["end"])).alias("part"))
     parts = tight.unionByName(loose).select(*keys, "island", F.explode(F.arrays_zip("ps", "part")).alias("x")).select(*keys, F.col("x.ps.start").alias("start"), F.col("x.ps.end").alias("end"), F.concat_ws("-", "island", "x.part").alias("cluster"))
-    return facts.join(parts, [*keys, "start", "end"])
+    return filings.join(parts, [*keys, "start", "end"])
 
 
-def collapse_filings(facts: DataFrame, keys: list[str]) -> DataFrame:
+def collapse_filings(filings: DataFrame, keys: list[str]) -> DataFrame:
     """One observation per period cluster: the tag of highest priority, first and latest filing.
 
-    ``facts`` come from :func:`cluster_periods`. The first filing (by date, then
+    ``filings`` come from :func:`cluster_periods`. The first filing (by date, then
     accession) gives value, form and label, the last one the latest value; dates of
     filing are counted once. The period's ends are those of the first fact seen.
     """
-    tagged = facts.join(facts.groupBy(*keys, "cluster").agg(F.min("tag_idx").alias("best")), [*keys, "cluster"]).where("tag_idx = best")
-    at = F.struct("filed", "accn")
-    g = tagged.groupBy(*keys, "cluster").agg(
-        F.min_by(F.struct("val", "filed", "form", "fiscal_label", "tag", "start", "end"), at).alias("a"),
-        F.max_by(F.struct("val", "filed"), at).alias("z"), F.countDistinct("filed").alias("n_filings"),
+    tags = filings.groupBy(*keys, "cluster", "tag_idx").agg(
+        F.min_by("a", "a_at").alias("a"), F.max_by("z", "z_at").alias("z"), F.size(F.array_distinct(F.flatten(F.collect_list("days")))).cast("bigint").alias("n_filings")
     )
+    g = tags.groupBy(*keys, "cluster").agg(F.min_by(F.struct("a", "z", "n_filings"), "tag_idx").alias("b")).select(*keys, "b.*")
     return g.select(
         *keys, F.col("a.tag").alias("tag"), F.col("a.start").alias("start"), F.col("a.end").alias("end"), F.col("a.val").alias("value"), F.col("a.filed").alias("filed"),
         F.col("z.val").alias("value_latest"), F.col("z.filed").alias("filed_latest"), "n_filings", F.col("a.form").alias("form"), F.col("a.fiscal_label").alias("fiscal_label"),
@@ -86,7 +100,7 @@ def extract_observations(facts: DataFrame, keys: list[str]) -> DataFrame:
     """Quarterly and annual observations of all entities and concepts in one pass."""
     f = valid_facts(facts)
     k = [*keys, "kind"]
-    return collapse_filings(cluster_periods(f, k), k)
+    return collapse_filings(cluster_periods(cut(filings_by_period(f, k)), k), k)
 
 
 def tag_provenance(observations: DataFrame, keys: list[str]) -> DataFrame:

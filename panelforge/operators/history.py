@@ -5,7 +5,8 @@ hashes and an inner node's hash combines its children's. A node is compared with
 the same node of the snapshot in which it last held rows; only below differing
 nodes is the descent continued, and only rows of differing leaves are compared one
 by one. All snapshots are compared in one pass, level by level: the nodes of a
-level are one small table, not a loop over snapshots.
+level are one small table, not a loop over snapshots. The snapshots are read once: the
+settled rows, with their leaf and hashes, are written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.plans.lineage import cut
+
 FAN = 16
 ROWS_PER_LEAF = 64
 
@@ -39,10 +42,11 @@ def _hashes(*cols: Column | str) -> list[Column]:
 
 
 def changed_leaves(rows: DataFrame, depth: int) -> DataFrame:
-    """(at, leaf) pairs below which something may have changed since the leaf's last snapshot."""
-    h1, h2 = _hashes("key", "state")
-    leaf = F.pmod(F.xxhash64("key"), F.lit(FAN**depth))
-    level = rows.groupBy("at", leaf.alias("node")).agg(F.bit_xor(h1).alias("h1"), F.bit_xor(h2).alias("h2"), F.count("*").alias("n"))
+    """(at, node) pairs of leaves below which something may have changed since the leaf's last snapshot.
+
+    ``rows``: at, node (the leaf), h1, h2.
+    """
+    level = cut(rows.groupBy("at", "node").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.count("*").alias("n")))
     levels = [level]
     for _ in range(depth):
         a, b = _hashes("node", "h1", "h2", "n")
@@ -71,11 +75,12 @@ def history(snapshots: DataFrame, key: str, at: str, loaded: str, state: list[st
     back is a new version; a snapshot in which a key is absent says nothing about
     it. The tree's depth follows the number of keys, with about 64 rows to a leaf.
     """
-    rows = settle(snapshots, key, at, loaded, state)
-    keys = snapshots.agg(F.approx_count_distinct(key)).first()[0] or 1
+    h1, h2 = _hashes("key", "state")
+    rows = cut(settle(snapshots, key, at, loaded, state).select("key", "at", "state", h1.alias("h1"), h2.alias("h2")))
+    keys = rows.agg(F.approx_count_distinct("key")).first()[0] or 1
     depth = max(1, math.ceil(math.log(max(1, keys / ROWS_PER_LEAF), FAN)))
-    leaf = F.pmod(F.xxhash64("key"), F.lit(FAN**depth))
-    candidates = rows.withColumn("node", leaf).join(changed_leaves(rows, depth), ["at", "node"], "left_semi")
+    rows = rows.withColumn("node", F.pmod(F.xxhash64("key"), F.lit(FAN**depth)))
+    candidates = rows.join(changed_leaves(rows, depth), ["at", "node"], "left_semi").select("key", "at", "state")
     # Rows of an unchanged leaf repeat the leaf's rows of the snapshot before, so
     # comparing each key's remaining rows in order misses no change.
     w = Window.partitionBy("key").orderBy("at")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.functions.dates import parse_date, parse_yyyymmdd, yyyymmdd
+from panelforge.functions.dates import parse_yyyymmdd, with_days, yyyymmdd
 from panelforge.operators import collapse
 from panelforge.plans.oracle_text import sql_date
 from panelforge.session import table
@@ -36,8 +36,9 @@ FROM ev e GROUP BY 1, 2)"""
 
 def patent_apps(spark: SparkSession, d: str) -> DataFrame:
     """Applications of the delivered patent records."""
-    p = table(spark, d, "patent_records").select(
-        "ticker", F.col("application_id").alias("application"), F.col("assignee_org").alias("name"), parse_date("filing_date").alias("filing"), parse_date("publication_date").alias("publication"), parse_date("grant_date").alias("granted"), parse_date("priority_date").alias("priority")
+    p = with_days(
+        table(spark, d, "patent_records"), {"filing": "filing_date", "publication": "publication_date", "granted": "grant_date", "priority": "priority_date"},
+        "ticker", F.col("application_id").alias("application"), F.col("assignee_org").alias("name"),
     )
     return collapse.collapse_applications(p)
 
@@ -48,8 +49,9 @@ papps AS (SELECT ticker, application, min(filing) AS filing, min(CASE WHEN grant
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
     """Quarterly observations with real dates."""
-    o = table(spark, d, "financial_observations").select(
-        "obs_id", "ticker", "concept", parse_date("period_start").alias("start"), parse_date("period_end").alias("end"), F.col("value_filed").alias("value"), parse_date("filed").alias("filed"), "value_latest", parse_date("filed_latest").alias("filed_latest")
+    o = with_days(
+        table(spark, d, "financial_observations"), {"start": "period_start", "end": "period_end", "filed": "filed", "filed_latest": "filed_latest"},
+        "obs_id", "ticker", "concept", F.col("value_filed").alias("value"), "value_latest",
     )
     return o.where(F.datediff("end", "start").between(70, 100) & F.col("value").isNotNull())
 

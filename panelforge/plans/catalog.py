@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.dates import nearest_quarter, parse_date, parse_yyyymmdd, q_index, q_label, yyyymmdd
+from panelforge.functions.dates import nearest_quarter, parse_date, parse_yyyymmdd, q_index, q_label, with_days, yyyymmdd
 from panelforge.operators import collapse, facts, islands, panel, regimes, routing, stats
 from panelforge.plans.adapters import SQL_APPS, SQL_EVENTS, SQL_OBS, SQL_PATENT_APPS, observations, patent_apps, pub_events
+from panelforge.plans.lineage import cut
 from panelforge.plans.oracle_text import sql_date, sql_day, sql_nearest_q, sql_q, sql_q_end, sql_q_label
 from panelforge.session import table
 
@@ -48,7 +49,7 @@ def parse_yyyymmdd_ints(spark, d):
 @query(f"""WITH p AS (SELECT obs_id, {sql_date('period_start')} s, {sql_date('period_end')} e FROM financial_observations)
 SELECT obs_id, CASE WHEN date_diff('day', s, e) BETWEEN 70 AND 100 THEN 'quarter' WHEN date_diff('day', s, e) BETWEEN 340 AND 380 THEN 'annual' END AS kind FROM p""")
 def duration_class(spark, d):
-    o = table(spark, d, "financial_observations").select("obs_id", parse_date("period_start").alias("start"), parse_date("period_end").alias("end"))
+    o = with_days(table(spark, d, "financial_observations"), {"start": "period_start", "end": "period_end"}, "obs_id")
     return o.select("obs_id", facts.duration_class("start", "end").alias("kind"))
 
 
@@ -391,8 +392,8 @@ SQL_FEATURES = SQL_PANEL + f""", ds AS (SELECT DISTINCT q AS t FROM pn), rc AS (
 ft AS (SELECT ticker, CAST(t AS INTEGER) AS t, last(yoy ORDER BY q) FILTER (yoy IS NOT NULL AND yoy_filed <= cutoff) AS f_yoy, last(gm ORDER BY q) FILTER (gm IS NOT NULL AND gm_filed <= cutoff) AS f_gm, last(dgm ORDER BY q) FILTER (dgm IS NOT NULL AND dgm_filed <= cutoff) AS f_dgm, last(rev ORDER BY q) FILTER (rev IS NOT NULL AND rev_filed <= cutoff) AS f_rev FROM rc GROUP BY ticker, t)"""
 
 
-def _features(spark, d, extra=False):
-    p = _panel(spark, d)
+def _features(spark, d, extra=False, p=None):
+    p = cut(_panel(spark, d)) if p is None else p  # read twice below
     return panel.newest_known(p, p.select(F.col("q").alias("t")).distinct(), panel.BASELINE | ({"f_rev": ("rev", "rev_filed")} if extra else {}))
 
 
@@ -439,8 +440,10 @@ SQL_DATA = SQL_FEATURES + SQL_TARGETS[len(SQL_PANEL):] + ", dt AS (SELECT ft.tic
 
 
 def _data(spark, d):
-    f = _features(spark, d, True).withColumnRenamed("t", "q")
-    return f.join(_targets(spark, d), ["ticker", "q"], "left").withColumn("size", F.when(F.col("f_rev") > 0, F.log("f_rev")))
+    """Features and targets of one panel, which is built once; the result too is written once, as it is read several times."""
+    p = cut(_panel(spark, d))
+    f = _features(spark, d, True, p).withColumnRenamed("t", "q")
+    return cut(f.join(panel.targets(p), ["ticker", "q"], "left").withColumn("size", F.when(F.col("f_rev") > 0, F.log("f_rev"))))
 
 
 def _sql_rank(v: str, by: str = "q") -> str:
@@ -529,7 +532,7 @@ CASE WHEN t1_h4 IS NOT NULL THEN ({_sql_rank('t1_h4')} - 1) / greatest(count(t1_
 
 def _common(spark, d):
     c = _data(spark, d).dropna(subset=["f_yoy", "f_gm"])
-    return c.withColumn("x1", stats.unit_rank(["q"], "f_yoy")).withColumn("x2", stats.unit_rank(["q"], "f_gm")).withColumn("y", stats.unit_rank(["q"], "t1_h4"))
+    return cut(c.withColumn("x1", stats.unit_rank(["q"], "f_yoy")).withColumn("x2", stats.unit_rank(["q"], "f_gm")).withColumn("y", stats.unit_rank(["q"], "t1_h4")))
 
 
 @query(f"""WITH {SQL_COMMON}, ts AS (SELECT DISTINCT q AS t FROM cm), j AS (SELECT t, x1, x2, y FROM ts JOIN cm ON cm.q <= t - 4 AND y IS NOT NULL AND t1_h4_filed <= {sql_q_end('t')}),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.functions.dates import nearest_quarter, parse_date, q_label, q_yyyyq, yyyymmdd
+from panelforge.functions.dates import nearest_quarter, q_label, q_yyyyq, with_days, yyyymmdd
 from panelforge.operators import asof, history, intervals, late_panes, regular_grid
 from panelforge.plans.oracle_text import sql_date, sql_day, sql_nearest_q, sql_q, sql_q_end, sql_q_label
 from panelforge.session import table
@@ -14,7 +14,7 @@ from panelforge.session import table
 
 
 def periods(obs: DataFrame) -> DataFrame:
-    return obs.select("ticker", "concept", parse_date("period_start").alias("ps"), parse_date("period_end").alias("pe"))
+    return with_days(obs, {"ps": "period_start", "pe": "period_end"}, "ticker", "concept")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,8 +46,7 @@ FROM r JOIN c ON c.ticker = r.ticker AND c.concept = r.concept AND c.day BETWEEN
 
 def applications(patents: DataFrame) -> DataFrame:
     """One row per application: earliest filing and publication day, first delivered stream."""
-    f, p = parse_date("filing_date"), parse_date("publication_date")
-    rows = patents.select("record_id", "feed_id", "ticker", "application_id", "retrieved_at", f.alias("filed"), p.alias("published"))
+    rows = with_days(patents, {"filed": "filing_date", "published": "publication_date"}, "record_id", "feed_id", "ticker", "application_id", "retrieved_at")
     rows = rows.where("application_id is not null and trim(application_id) <> '' and filed is not null and published >= filed")
     return rows.groupBy("application_id").agg(
         F.min("filed").alias("filed"), F.min("published").alias("published"),
@@ -87,8 +86,7 @@ CAST(sum(n) OVER (PARTITION BY feed_id, ticker, q ORDER BY m NULLS FIRST ROWS UN
 
 
 def quarter_cells(obs: DataFrame) -> DataFrame:
-    s, e = parse_date("period_start"), parse_date("period_end")
-    rows = obs.select("ticker", "concept", "obs_id", s.alias("s"), e.alias("e"), F.coalesce("value_latest", "value_filed").alias("value"))
+    rows = with_days(obs, {"s": "period_start", "e": "period_end"}, "ticker", "concept", "obs_id", F.coalesce("value_latest", "value_filed").alias("value"))
     rows = rows.where(F.datediff("e", "s").between(70, 100)).withColumn("quarter", nearest_quarter("e"))
     return regular_grid.cells_of(rows, ["ticker", "concept"], "quarter", "value", ["e", "obs_id"])
 
@@ -128,9 +126,9 @@ FROM (SELECT DISTINCT ticker FROM o WHERE concept = 'revenue') t LEFT JOIN c ON
 
 def revenue_states(obs: DataFrame) -> DataFrame:
     """Revenue figure known after each day on which the known figure changes, by ticker."""
-    rows = obs.where("concept = 'revenue' and value_filed is not null").select(
-        "obs_id", "value_filed", "value_latest", parse_date("period_start").alias("s"), parse_date("period_end").alias("e"),
-        F.upper(F.trim("ticker")).alias("entity"), parse_date("filed").alias("filed"), parse_date("filed_latest").alias("filed_latest"),
+    rows = with_days(
+        obs.where("concept = 'revenue' and value_filed is not null"), {"s": "period_start", "e": "period_end", "filed": "filed", "filed_latest": "filed_latest"},
+        "obs_id", "value_filed", "value_latest", F.upper(F.trim("ticker")).alias("entity"),
     )
     rows = rows.where(F.datediff("e", "s").between(70, 100))
     return asof.current_states(rows, "entity", "filed", F.struct("e", "filed", (-F.col("obs_id")).alias("i")), ["obs_id", "value_filed", "value_latest", "filed_latest"])
@@ -172,7 +170,8 @@ STATE = ["value_latest", "filed_day", "n_filings"]
 
 def versions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "financial_snapshots").where("value_latest is not null and not isnan(value_latest)")
-    return history.history(rows.withColumn("filed_day", parse_date("filed_latest")), "obs_id", "snapshot_date", "loaded_at", STATE)
+    days = with_days(rows, {"filed_day": "filed_latest"}, "obs_id", "snapshot_date", "loaded_at", "value_latest", "n_filings")
+    return history.history(days, "obs_id", "snapshot_date", "loaded_at", STATE)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
