@@ -70,8 +70,8 @@ class Curriculum:
 
     @property
     def ends(self) -> float:
-        """Time at which the supply runs out; 1 if it lasts."""
-        return float(self.time_of(np.array([self.supply]))[0]) if self.supply < self.demand[-1] else 1.0
+        """Time at which the cumulative demand reaches the supply; 1 if it lasts to the end."""
+        return float(self.time_of(np.array([self.supply]))[0])
 
     @property
     def reached(self) -> float:
@@ -109,7 +109,7 @@ def plan(sized: DataFrame, targets: DataFrame, tilt: dict[str, float] | None = N
 def report(spark, curs: dict[str, Curriculum], sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: int) -> DataFrame:
     """Per source: target and reached share, tokens, uses, and the time its supply ends."""
     rows = [
-        (s, t[0], c.reached / total if total else 0.0, sizes.get(s, 0), c.reached / sizes[s] if sizes.get(s) else 0.0, c.ends, bool(c.supply < c.demand[-1]))
+        (s, t[0], c.reached / total if total else 0.0, sizes.get(s, 0), c.reached / sizes[s] if sizes.get(s) else 0.0, c.ends, c.ends < 1.0)
         for s, t in targets.items() for c in [curs[s]]
     ]
     return spark.createDataFrame(rows, "source string, target_share double, reached_share double, source_tokens bigint, uses double, supply_ends double, short boolean")
@@ -127,9 +127,10 @@ def mixture(sized: DataFrame, curs: dict[str, Curriculum], sizes: dict[str, int]
     docs = sized.where(F.col("tokens") > 0).where(F.col("src").isin(*targets)).withColumn("h", F.xxhash64(doc_id, F.lit(seed)))
     n = docs.count()
     buckets = max(1, -(-n // DOCS_PER_BUCKET))
-    docs = cut(docs.withColumn("b", F.pmod("h", F.lit(buckets)).cast("int")))
+    # buckets are ranges of h: the order of documents does not depend on how many there are
+    docs = cut(docs.withColumn("b", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * buckets).cast("int")))
     ahead = docs.groupBy("src", "b").agg(F.sum("tokens").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
-    w = Window.partitionBy("src", "b").orderBy("h", doc_id).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("src", "b").orderBy("h", doc_id, "tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("inner", F.coalesce(F.sum("tokens").over(w), F.lit(0))).join(ahead, ["src", "b"]).withColumn("at", F.col("inner") + F.col("before"))
     limit = spark.createDataFrame([(s, float(curs[s].reached), int(sizes.get(s, 0))) for s in targets], "src string, reach double, size bigint")
     copies = placed.join(F.broadcast(limit), "src").where("at < reach").withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col("reach") - F.col("at")) / F.col("size")).cast("int") - 1))))

@@ -46,7 +46,9 @@ def registry_groups(registry: DataFrame) -> DataFrame:
     """
     rows = registry.select("registry_id", ciks_of("ciks").alias("cs"))
     row_node = F.col("registry_id") * 2
-    edges = rows.select(row_node.alias("a"), F.explode("cs").alias("c")).where("length(c) <= 17").select("a", (F.col("c").cast("bigint") * 2 + 1).alias("b"))
+    # a number of any length is a node by itself; beyond seventeen digits by its 62-bit hash
+    number = F.coalesce(F.when(F.length("c") <= 17, F.col("c").try_cast("bigint")), F.bitwise_not(F.shiftrightunsigned(F.xxhash64("c"), 2)))
+    edges = rows.select(row_node.alias("a"), F.explode("cs").alias("c")).select("a", (number * 2 + 1).alias("b"))
     edges = edges.unionByName(rows.select(row_node.alias("a"), row_node.alias("b")))
     return components(edges, "a", "b").where("node % 2 = 0").select((F.col("node") / 2).cast("bigint").alias("registry_id"), F.col("component").alias("company"))
 

@@ -16,18 +16,32 @@ LOOKALIKES = str.maketrans(
     "ABESIJKMHOPCTYXaeisjopcyxkdqwhngABEZHIKMNOPTYXovaikmth",
 )
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
-_TAG = re.compile(r"<[^<>]{1,400}>")
-_MD_LINK = re.compile(r"\]\([^()\s]{1,400}\)")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<[!?][^<>]*>")
+_MD_LINK = re.compile(r"\]\([^()\s]+\)")
 _BROKEN = re.compile(r"(?<=\w)-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def strip_comments(text: str) -> str:
+    """Text without mark-up comments, in one pass; one that is never closed stays."""
+    parts, at = [], 0
+    while (i := text.find("<!--", at)) >= 0 and (j := text.find("-->", i + 4)) >= 0:
+        parts.append(text[at:i])
+        at = j + 3
+    return " ".join([*parts, text[at:]])
+
+
+def strip_tags(text: str) -> str:
+    """Text without tags of any length; a ``<`` or ``>`` between words or figures is none."""
+    return _TAG.sub(" ", strip_comments(text))
+
+
 def plain(text: str) -> str:
     """Text without mark-up, invisible and look-alike characters, broken words joined."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = strip_tags(text)
     if "](" in text:
         text = _MD_LINK.sub(" ", text)
     text = _BROKEN.sub("", text)

@@ -65,6 +65,43 @@ def test_large_groups_by_blocks(spark, monkeypatch):
     assert whole[1]["hot"][1] == " ".join(base)
 
 
+def test_blocks_decide_nothing(spark, monkeypatch):
+    """Random values of few tokens, where every tie and gap counts: the same survivor however the work is cut."""
+    rng = random.Random(6)
+    data, k = [], 0
+    for g in range(60):
+        for _ in range(8):
+            k += 1
+            data.append((k, f"g{g}", " ".join(rng.choice("ABCDE") for _ in range(rng.randrange(1, 6))), 1 + rng.randrange(4), TS(2020, 1, 1) + dt.timedelta(minutes=k), ""))
+    whole = survive(spark, data, False)
+    for size in (7, 3, 1):
+        monkeypatch.setattr(survivor, "BLOCK", size)
+        assert survive(spark, data, False) == whole
+
+
+def test_consensus_beats_the_weightiest_row(spark):
+    """The row of greatest weight is outvoted token by token."""
+    t = TS(2020, 1, 1)
+    data = [(1, "a", "ACNE LOGIC GMBH", 1, t, ""), (2, "a", "ACME LOGIC INC", 2, t, ""), (3, "a", "ACME LOGIK INC", 2, t, ""), (4, "a", "ACME POWER INC", 2, t, "")]
+    assert survive(spark, data, lead=False) == {"a": (2, "ACME LOGIC INC")} and survive(spark, data, lead=True) == {"a": (1, "ACNE LOGIC GMBH")}
+
+
+def test_order_of_a_source_does_not_depend_on_buckets(spark, monkeypatch):
+    sized = spark.createDataFrame([(i, "a", 1 + i % 7) for i in range(300)], "doc_id bigint, src string, tokens bigint")
+    t = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
+    curs = mixing.plan(sized, t)
+    whole = rows(mixing.mixture(sized, *curs))
+    monkeypatch.setattr(mixing, "DOCS_PER_BUCKET", 13)
+    assert rows(mixing.mixture(sized, *curs)) == whole
+
+
+def test_long_ciks_are_nodes_too(spark):
+    long = "1234567890123456789012345"
+    df = spark.createDataFrame([(1, long), (2, f"CIK{long}; 78"), (3, "0000000078"), (4, None), (5, "1234567890123456789012346"), (6, "")], "registry_id bigint, ciks string")
+    got = {r.registry_id: r.company for r in queries.registry_groups(df).collect()}
+    assert len(got) == 6 and got[1] == got[2] == got[3] != got[5] and got[4] != got[6] != got[1]
+
+
 def test_align_to():
     a = "A B C D".split()
     assert survivor.align_to(a, a) == [(i + 1, 0, x) for i, x in enumerate(a)]
@@ -339,5 +376,6 @@ def test_em_keeps_likelihood_and_viterbi_is_exact():
 
 
 def test_words_of_dirty_text():
+    assert text.words(f'a <div title="{"x " * 600}">b</div> 3 < 4 <!-- c > d -->e <!-- f') == ["a", "b", "3", "4", "e", "f"]
     assert text.words("Gake-\nmas <b>ran</b>&nbsp;１２ ﬁne Саfé") == ["gakemas", "ran", "12", "fine", "cafe"]
     assert text.words(None) == [] and text.words("") == []
