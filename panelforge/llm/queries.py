@@ -116,13 +116,14 @@ rg AS (SELECT u.*, m.g, r.trust_rank FROM universe_registry u JOIN m USING (regi
 
 
 def name_guide(registry: DataFrame) -> DataFrame:
-    """``company, prefix`` of the registry; excluded names carry an id of their own."""
+    """``company, prefix`` of the registry, its labels being names too; excluded names carry an id of their own."""
 
     def listed(col: str) -> Column:
         return F.explode(F.split(F.col(col), ";"))
 
-    groups = registry_groups(registry)
-    own = registry.select("registry_id", "assignee_prefixes").join(groups, "registry_id").select("company", listed("assignee_prefixes").alias("prefix"))
+    groups = cut(registry_groups(registry))
+    own = registry.select("registry_id", "assignee_prefixes", "label").join(groups, "registry_id")
+    own = own.select("company", listed("assignee_prefixes").alias("prefix")).unionByName(own.select("company", F.col("label").alias("prefix")))
     other = registry.select(listed("exclusions").alias("prefix"))
     rows = own.unionByName(other.select((-F.abs(F.xxhash64(F.upper(F.trim("prefix"))) / 2).cast("bigint") - 1).alias("company"), "prefix"))
     return rows.select("company", F.regexp_replace("prefix", "%", "").alias("prefix")).where(is_filled("prefix")).distinct()
@@ -142,9 +143,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
-    """One row per name: its class (the class's smallest row id)."""
+    """One row per row of the table: its class (the class's smallest row id); rows without a name are their own."""
     e = audit_entities(spark, d)
-    return e.join(e.groupBy("entity").agg(F.min("audit_id").alias("class_id")), "entity").select("audit_id", "class_id")
+    classes = e.join(e.groupBy("entity").agg(F.min("audit_id").alias("class_id")), "entity").select("audit_id", "class_id")
+    return table(spark, d, "assignee_match_audit").select("audit_id").join(classes, "audit_id", "left").select("audit_id", F.coalesce("class_id", "audit_id").alias("class_id"))
 
 
 # ---------------------------------------------------------------- 8: leakage

@@ -141,6 +141,39 @@ def test_names_link_and_keep_apart(spark):
     assert key("HYRAFEWIMOOR FOODS") == key("HYRAFEWIMOOR FOODS OY") and "" not in got and "---" not in got
 
 
+def test_names_of_common_words_stay_apart(spark):
+    """Nothing but common words: each name is its own core, whatever the table has learned about its words."""
+    listed = ["APPLIED MATERIALS INC", "ADVANCED MATERIALS INC", "UNITED MATERIALS", "TAIWAN SEMICONDUCTOR MANUFACTURING CO", "CHINA SEMICONDUCTOR MANUFACTURING CO", "GLOBAL RESEARCH HOLDINGS", "THE COMPANY LTD"]
+    listed += [f"{w} {k}LOREMIPSUMA MATERIALS" for k in "BCDFGHJKLMNP" for w in ("APPLIED", "ADVANCED", "UNITED")] + [f"{k}DOLORSITAME SEMICONDUCTOR {w}" for k in "BCDFGHJK" for w in ("TAIWAN", "CHINA", "MANUFACTURING")]
+    got = entity_of(spark, listed)
+    assert len(got) == len(set(listed)) and len({got[n] for n in listed[:7]}) == 7
+
+
+def test_abbreviations_are_learned(spark):
+    """Neither the trades nor their short forms, one of them without a letter in order, are known beforehand."""
+    rng = random.Random(4)
+    cores = ["".join(rng.choice("BDFGKLMNPRSTVZ") + rng.choice("AEIOU") for _ in range(6)) for _ in range(40)]
+    trades = [("HYDRAULICS", "HYDR"), ("CARTONNAGE", "KTNG"), ("BREWERIES", "BRW"), ("OPTOMETRY", "OPTM")]
+    listed, owner = [], {}
+    for i, c in enumerate(cores):
+        full, short = trades[i % 4]
+        for n in (f"{c} {full} LTD", f"{c} {short} LTD", f"{short}, {c} INC", f"{c} {full} PERU LTD"):
+            owner[n] = i
+        if i % 5 == 0:
+            owner[f"{c} {trades[(i // 5 + 1 + i) % 4][0]} OY"] = -1 - i if (i // 5 + 1) % 4 else i
+    listed = list(owner)
+    got = entity_of(spark, listed)
+    pairs = [(a, b) for i, a in enumerate(listed) for b in listed[:i]]
+    true, found = {x for x in pairs if owner[x[0]] == owner[x[1]]}, {x for x in pairs if got[x[0]] == got[x[1]]}
+    assert len(true & found) >= 0.99 * len(true) and len(true & found) >= 0.99 * len(found)
+
+
+def test_classes_have_a_row_per_row(spark, sf):
+    n = queries.table(spark, sf, "assignee_match_audit").count()
+    c = queries.p5_classes(spark, sf)
+    assert c.count() == n == c.select("audit_id").distinct().count() and c.where("class_id is null").count() == 0
+
+
 def test_names_empty(spark):
     assert entity_of(spark, [], []) == {}
 
