@@ -125,7 +125,44 @@ def reach(a: np.ndarray, b: np.ndarray, ends: dict[int, list[int]], max_edit: fl
     return best
 
 
-def passages(item: np.ndarray, doc: np.ndarray, p: Params) -> list[tuple[int, int]]:
+class Pairs:
+    """Neighbouring word pairs of a document, sorted once for all items it is compared with."""
+
+    def __init__(self, doc: np.ndarray) -> None:
+        self.words = doc
+        ids = pair_ids(doc)
+        self.order = np.argsort(ids, kind="stable")
+        self.sorted = ids[self.order]
+
+
+def pair_ids(ws: np.ndarray) -> np.ndarray:
+    return _mix(ws[:-1].astype(np.uint64)) ^ ws[1:].astype(np.uint64)
+
+
+def runs_of(item: np.ndarray, doc: Pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts in the document and in the item, and sizes, of all runs of two or more equal words on a diagonal."""
+    none = np.zeros(0, dtype=np.int64)
+    ids = pair_ids(item)
+    lo, hi = np.searchsorted(doc.sorted, ids, "left"), np.searchsorted(doc.sorted, ids, "right")
+    counts = hi - lo
+    total = int(counts.sum())
+    if not total:
+        return none, none, none
+    ii = np.repeat(np.arange(len(ids)), counts)
+    jj = doc.order[np.repeat(lo, counts) + np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)]
+    diag = jj - ii
+    o = np.lexsort((ii, diag))
+    ii, jj, diag = ii[o], jj[o], diag[o]
+    new = np.ones(total, dtype=bool)
+    new[1:] = (diag[1:] != diag[:-1]) | (ii[1:] != ii[:-1] + 1)
+    first = np.flatnonzero(new)
+    return jj[first], ii[first], np.diff(np.append(first, total)) + 1
+
+
+GAP = 3  # item words at most between two runs of a chain
+
+
+def passages(item: np.ndarray, doc: np.ndarray | Pairs, p: Params) -> list[tuple[int, int]]:
     """Spans of the item found in the document, each within ``max_edit`` of its words.
 
     Runs of equal words on a diagonal are chained over at most two altered, dropped
@@ -133,24 +170,12 @@ def passages(item: np.ndarray, doc: np.ndarray, p: Params) -> list[tuple[int, in
     every beginning the longest span is kept whose exact edit distance to the
     document's span allows it, unless it lies inside another one.
     """
-    order = np.argsort(doc, kind="stable")
-    sorted_doc = doc[order]
-    lo, hi = np.searchsorted(sorted_doc, item, "left"), np.searchsorted(sorted_doc, item, "right")
-    counts = hi - lo
-    if not counts.sum():
+    pairs = doc if isinstance(doc, Pairs) else Pairs(doc)
+    doc = pairs.words
+    js, starts, sizes = runs_of(item, pairs)
+    if not len(js):
         return []
-    ii = np.repeat(np.arange(len(item)), counts)
-    offsets = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    jj = order[np.repeat(lo, counts) + offsets]
-    diag = jj - ii
-    o = np.lexsort((ii, diag))
-    ii, jj, diag = ii[o], jj[o], diag[o]
-    new = np.ones(len(ii), dtype=bool)
-    new[1:] = (diag[1:] != diag[:-1]) | (ii[1:] != ii[:-1] + 1)
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(ii)))
-    keep = size >= 2
-    runs = sorted(zip(jj[first[keep]].tolist(), ii[first[keep]].tolist(), size[keep].tolist()))
+    runs = sorted(zip(js.tolist(), starts.tolist(), sizes.tolist()))
     # the runs that may follow each run, found by where they begin; a follower always stands later
     at = {(i, j): k for k, (j, i, _) in enumerate(runs)}
     after = [[k for gi in range(-1, 4) for gj in range(-1, 4) if (k := at.get((i + n + gi, j + n + gj))) is not None and runs[k][1] + runs[k][2] > i + n] for j, i, n in runs]
@@ -222,6 +247,9 @@ class Index:
 
     def __init__(self, items: dict[int, tuple[np.ndarray, np.ndarray]], p: Params) -> None:
         self.p, self.items, self.embed = p, items, Embedder(p)
+        # pair ids with room for a gap after each item, and the own words likewise
+        room = np.zeros(GAP + 2, dtype=np.uint64)
+        self.laid = {k: (np.concatenate([pair_ids(ids), room]), np.concatenate([own, np.zeros(len(room) - 1 + (len(ids) == 0), dtype=bool)])) for k, (ids, own) in items.items()}
         keys, owners = [], []
         for k, (ids, own) in items.items():
             if not own.any():
@@ -267,7 +295,27 @@ class Index:
                     k += 1
         return found
 
-    def share(self, item: int, doc: np.ndarray) -> tuple[float, int]:
+    def promising(self, items: list[int], doc: Pairs) -> list[int]:
+        """Those of the items that could reach ``min_share`` in the document.
+
+        A chain covers runs of two or more equal words and at most ``GAP`` words
+        between two of them; an item whose words within reach of such runs, on any
+        diagonal, hold too few of its own cannot reach it. All items are looked up at once.
+        """
+        if not items:
+            return []
+        laid = [self.laid[i] for i in items]
+        ids = np.concatenate([x for x, _ in laid])
+        at = np.minimum(np.searchsorted(doc.sorted, ids), max(len(doc.sorted) - 1, 0))
+        on = (doc.sorted[at] == ids) if len(doc.sorted) else np.zeros(len(ids), dtype=bool)
+        near = on.copy()
+        for k in range(1, GAP + 2):  # the pair's second word, then the gap
+            near[k:] |= on[:-k]
+        bounds = np.cumsum([0] + [len(x) for x, _ in laid[:-1]])
+        got = np.add.reduceat((near & np.concatenate([o for _, o in laid])).astype(np.int64), bounds)
+        return [i for i, n, (_, o) in zip(items, got, laid) if n >= self.p.min_share * o.sum()]
+
+    def share(self, item: int, doc: np.ndarray | Pairs) -> tuple[float, int]:
         """Share of the item's own words found in passages, and the number of passages."""
         ids, own = self.items[item]
         mark = np.zeros(len(ids), dtype=bool)
@@ -311,8 +359,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
                 rows = []
                 ids = [word_ids(words(t)) for t in pdf["text"]]
                 for doc, seq, cands in zip(pdf["doc_id"], ids, index.candidates(ids)):
-                    for item in sorted(cands):
-                        share, n = index.share(item, seq)
+                    pairs = Pairs(seq) if cands else None
+                    for item in index.promising(sorted(cands), pairs) if cands else ():
+                        share, n = index.share(item, pairs)
                         if share >= p.min_share:
                             rows.append((doc, item, share, n))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "passages"])
