@@ -25,6 +25,13 @@ def persistent_switches(df: DataFrame, keys: list[str], order: str, p: str, min_
     return kept.withColumn("was", F.lag("side").over(w)).where("was <> side").select(*keys, order, F.when(F.col("side"), "up").otherwise("down").alias("direction"), "p_at_switch")
 
 
+def with_none(switches: DataFrame, series: DataFrame, keys: list[str]) -> DataFrame:
+    """Switches, and a row of direction ``none`` for every series that has none."""
+    rest = series.select(*keys).distinct().join(switches.select(*keys).distinct(), keys, "left_anti")
+    types = {f.name: f.dataType for f in switches.schema}
+    return switches.unionByName(rest.select(*keys, *[(F.lit("none") if c == "direction" else F.lit(None).cast(t)).alias(c) for c, t in types.items() if c not in keys]))
+
+
 def episode_starts(df: DataFrame, keys: list[str], order: str, condition: Column) -> DataFrame:
     """First rows of stretches in which a condition holds; rows where it is unknown change nothing."""
     r = runs(df, keys, order, condition).where("side")

@@ -97,4 +97,16 @@ def move_log(reattributed: DataFrame, moves: DataFrame) -> DataFrame:
     return moves.join(n, "rule", "left").select("rule", "from_ticker", F.coalesce("to_ticker", F.lit("DROPPED")).alias("to_ticker"), "effective", F.coalesce("applications_moved", F.lit(0)).alias("applications_moved"), "reason")
 
 
-__all__ = ["RULES", "MOVES", "prefix_hits", "route", "assign", "audit", "reattribute", "move_log"]
+def override(rows: DataFrame, overrides: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``rows`` with ``fields`` replaced where an override of the same key has them, and ``overridden``.
+
+    Several overrides of a key: the greatest non-null value per field. A null key is
+    never overridden.
+    """
+    o = overrides.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(f).alias(f"__{f}") for f in fields]).withColumn("__hit", F.lit(True))
+    j = rows.join(o, key, "left")
+    kept = [F.coalesce(f"__{c}", c).alias(c) if c in fields else F.col(c) for c in rows.columns]
+    return j.select(*kept, F.coalesce("__hit", F.lit(False)).alias("overridden"))
+
+
+__all__ = ["RULES", "MOVES", "override", "prefix_hits", "route", "assign", "audit", "reattribute", "move_log"]

@@ -569,7 +569,7 @@ def logistic_fusion(spark, d):
     return stats.auc(p, ["q"], "score", "t2")
 
 
-WS = [0.25, 0.5, 1.0, 2.0]
+WS = [0.05, 0.1, 0.25, 0.5, 1.0, 2.0]
 
 
 def _candidates(spark, d):
@@ -578,7 +578,7 @@ def _candidates(spark, d):
     return c.select("ticker", "q", "t1_h4", "t1_h4_filed", s).select("ticker", "q", "t1_h4", "t1_h4_filed", "p.*")
 
 
-@query(f"""WITH {SQL_COMMON}, cd AS (SELECT cm.ticker, cm.q, cm.t1_h4, cm.t1_h4_filed, w, round(w * x1 - x2, 9) AS score FROM cm, (SELECT unnest([0.25, 0.5, 1.0, 2.0])::DOUBLE AS w)), ts AS (SELECT DISTINCT q AS t FROM cm),
+@query(f"""WITH {SQL_COMMON}, cd AS (SELECT cm.ticker, cm.q, cm.t1_h4, cm.t1_h4_filed, w, round(w * x1 - x2, 9) AS score FROM cm, (SELECT unnest([0.05, 0.1, 0.25, 0.5, 1.0, 2.0])::DOUBLE AS w)), ts AS (SELECT DISTINCT q AS t FROM cm),
 pl AS (SELECT t, cd.q, w, score, t1_h4 FROM ts JOIN cd ON cd.q <= t - 4 AND t1_h4 IS NOT NULL AND t1_h4_filed <= {sql_q_end('t')}), {_sql_ic('pl', 't, q, w', 'score', 't1_h4', 'pi')},
 pm AS (SELECT t, w, round(avg(ic), 12) AS m, count(*) AS n FROM pi WHERE ic IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 4), bs AS (SELECT t, first(w ORDER BY m DESC, w) AS w, first(m ORDER BY m DESC, w) AS m, first(n ORDER BY m DESC, w) AS n FROM pm GROUP BY 1)
 SELECT CAST(ts.t AS INTEGER) AS t, coalesce(w, 1.0::DOUBLE) AS w, round(m, 6) AS inner_ic, coalesce(n, 0) AS n_quarters, m IS NULL AS fallback FROM ts LEFT JOIN bs USING (t)""")
@@ -701,18 +701,19 @@ def nb_hmm_fit(spark, d):
 
 @query()
 def regime_probabilities(spark, d):
-    return regimes.fit_states(regimes.fit_regimes(_patent_grid(spark, d)).where("model = 'nb2'"))
+    return regimes.fit_states(regimes.fit_regimes(_patent_grid(spark, d), models=("nb2",)))
 
 
 @query()
 def regime_switches(spark, d):
-    s = regimes.fit_states(regimes.fit_regimes(_patent_grid(spark, d)).where("model = 'nb2'"))
-    return islands.persistent_switches(s, ["ticker", "model"], "q", "p_high_filtered")
+    """Persistent switches of every company's two-state model; a company without one has a single row ``none``."""
+    s = cut(regimes.fit_states(regimes.fit_regimes(_patent_grid(spark, d), models=("nb2",))))
+    return islands.with_none(islands.persistent_switches(s, ["ticker", "model"], "q", "p_high_filtered"), s, ["ticker", "model"])
 
 
 @query()
 def implementation_agreement(spark, d):
-    return regimes.agreement(regimes.fit_regimes(_patent_grid(spark, d)))
+    return regimes.agreement(cut(regimes.fit_regimes(_patent_grid(spark, d), models=("nb2", "po2"))))
 
 
 def _channels(spark, d):
@@ -737,15 +738,16 @@ def fusion_fit(spark, d):
 
 @query()
 def ablation_switches(spark, d):
-    s = regimes.fit_states(regimes.fit_ablation(_ablation_grid(spark, d)).where("n_states = 2"))
-    return islands.persistent_switches(s, ["ticker", "model"], "q", "p_high_filtered")
+    s = cut(regimes.fit_states(regimes.fit_ablation(_ablation_grid(spark, d), states=(2,))))
+    return islands.with_none(islands.persistent_switches(s, ["ticker", "model"], "q", "p_high_filtered"), s, ["ticker", "model"])
 
 
 @query()
 def expanding_hmm(spark, d):
     """Point-in-time regime probabilities, refitted each quarter on what was known by then."""
-    g = regimes.known_grid(collapse.quarterly_counts(patent_apps(spark, d)), _channels(spark, d))
+    g = cut(regimes.known_grid(cut(collapse.quarterly_counts(patent_apps(spark, d))), cut(_channels(spark, d))))
     lo, hi = g.agg(F.min("q"), F.max("q")).first()
-    return regimes.expanding_fits(g, list(range(lo, hi + 1)))
+    return regimes.expanding_fits(g, list(range(lo, hi + 1)) if lo is not None else [])
 
 
+from panelforge.plans import boards_catalog  # noqa: E402, F401  adds its queries

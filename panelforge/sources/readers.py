@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators import facts, routing
@@ -38,17 +38,26 @@ def guarded(df: DataFrame, max_bytes: int) -> DataFrame:
 class PublicationScan:
     """One consolidated scan of nested publication rows for all entities.
 
-    Seven columns, one office, one row per publication and assignee; prefixes are
-    applied to distinct names afterwards, which keeps the scan's own filter simple
-    enough to be pushed down.
+    Seven columns, one office, one row per publication and assignee. With ``prefixes``
+    (a stated list of rules) only publications are read of which some assignee's name
+    begins with one of them, and only such assignees come out; the office is pushed
+    down to the file.
     """
 
-    def __init__(self, path: str, country: str = "US") -> None:
+    def __init__(self, path: str, country: str = "US", prefixes: list[str] | None = None) -> None:
         self.path, self.country = path, country
+        self.prefixes = None if prefixes is None else sorted({p.rstrip("%").upper() for p in prefixes})
+
+    def _wanted(self, name: Column) -> Column:
+        hit = F.lit(False)
+        for p in self.prefixes or []:
+            hit = hit | F.upper(name).startswith(p)
+        return F.coalesce(hit, F.lit(False))
 
     def read(self, spark: SparkSession) -> DataFrame:
         raw = spark.read.schema(NESTED_PUBLICATIONS).parquet(self.path).where(F.col("country_code") == self.country)
-        return raw.select("application_number", F.explode("assignee_harmonized").alias("a"), "country_code", "filing_date", "publication_date", "grant_date", "priority_date").select(
+        named = F.col("assignee_harmonized") if self.prefixes is None else F.filter("assignee_harmonized", lambda a: self._wanted(a["name"]))
+        return raw.select("application_number", F.explode(named).alias("a"), "country_code", "filing_date", "publication_date", "grant_date", "priority_date").select(
             "application_number", F.col("a.name").alias("assignee_name"), "country_code", "filing_date", "publication_date", "grant_date", "priority_date"
         )
 
