@@ -22,11 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.text import spread, strip_marks
+from panelforge.llm.text import spread, strip_marks, strip_tags
 from panelforge.plans.lineage import cut
 
 STATES = ("prose", "link list", "tag list", "menu")
 LEVELS = (4, 3, 3, 3, 3, 2)  # classes of each feature
+SAID = 6  # times at which a word pair of a page counts as repeated
 PIECE = 24  # words at most in a line after cutting
 
 # Frequent function words of the corpus' four languages.
@@ -43,30 +44,31 @@ _BLOCK = re.compile(r"</?(?:p|div|li|ul|ol|tr|td|h\d)\b[^<>]*>", re.I)  # a line
 _ANCHOR = re.compile(r"<a\b[^<>]*>(.*?)</a>", re.I | re.S)
 _MD_LINK = re.compile(r"\[([^\[\]]*)\]\([^()\s]*\)")
 _URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
-_OTHER_TAG = re.compile(r"<[^<>]{1,400}>")
 _SENTENCE = re.compile(r"(?<=[.!?:])[\"”»)]*\s+(?=[A-ZÀ-Þ\"“«¿¡#<\[*\d])|(?<=\x02)\s+(?=[A-ZÀ-Þ])|\s+(?=(?:\w+ ?: )?\x02)")
 _WORD = re.compile(r"[^\W_]+(?:[-/_'’.][^\W_]+)*")
 _MARKS = re.compile(r"[#★•·|;»«>*]|,(?!\d)| / ")
+PERIOD = re.compile(r"(?:fy)?\d{4}[-/.]?(?:[qhwm]\d{1,2})?$|[qh]\d[-/.]?(?:fy)?\d{2,4}$")  # a year, quarter, half, month or week: a figure, no code
+_ENDED = re.compile(r"[.!?][\"'”»)\]]*\s*$")
 _SHOUT = re.compile(r"!!|>>|\.\.\.|(?i:click here|buy now|order now)")
 _LINK = "\x02"
 
 
-def lines_of(text: str) -> list[str]:
-    """Lines of a page; links stand as a control character before their text."""
+def lines_of(text: str) -> list[tuple[str, bool]]:
+    """Lines of a page, and whether each belongs to something that ends like a sentence; links stand as a control character before their text."""
     t = _BLOCK.sub("\n", html.unescape(text) if "&" in text else text)
     t = _ANCHOR.sub(lambda m: f" {_LINK} {m.group(1)} ", t)
     t = _MD_LINK.sub(lambda m: f" {_LINK} {m.group(1)} ", t)
     t = _URL.sub(f" {_LINK} ", t)
-    t = _OTHER_TAG.sub(" ", t)
+    t = strip_tags(t)
     out = []
     for line in t.split("\n"):
         for s in _SENTENCE.split(line):
-            tokens = s.split()
+            tokens, ended = s.split(), bool(_ENDED.search(s))
             size = -(-len(tokens) // max(1, -(-len(tokens) // PIECE)))  # even pieces, no stray last word
             for k in range(0, len(tokens), max(1, size)):
                 piece = " ".join(tokens[k : k + size])
                 if piece:
-                    out.append(piece)
+                    out.append((piece, ended))
     return out
 
 
@@ -78,40 +80,65 @@ def _content(w: str) -> bool:
     return w not in FUNCTION_WORDS and not w.isdigit()
 
 
-def features(line: str, heavy: frozenset[str] = frozenset()) -> tuple[tuple[int, ...], int] | None:
+def reads_as_sentence(line: str, ws: list[str]) -> bool:
+    """A sentence by its shape, in whatever language: begun with a capital, mostly small letters after it, nothing said three times.
+
+    The caller knows that it ends like one.
+    """
+    first = next((c for c in line if c.isalpha()), "")
+    small = sum(t[0].islower() for t in line.split() if t[0].isalpha())
+    return len(ws) >= 6 and first.isupper() and 2 * small > len(ws) and max(Counter(ws).values()) < 3 and len(_MARKS.findall(line)) * 6 <= len(ws)
+
+
+def features(line: str, ended: bool = False, heavy: frozenset[str] = frozenset(), said: Counter | None = None) -> tuple[tuple[int, ...], int] | None:
     """Classes of a line's features and its number of words; None for a line without any.
 
-    ``heavy`` are the page's overused words (see :func:`page_lines`).
+    ``heavy`` are the page's overused words, ``said`` counts its word pairs (see
+    :func:`page_lines`). A line without known function words that reads as a sentence
+    is taken for one in a language that the list does not have.
     """
     links = line.count(_LINK)
     ws = [w.lower() for w in _WORD.findall(strip_marks(line))]
     n = len(ws) + links
     if n == 0:
         return None
-    figures = sum(w.replace("q", "").replace(".", "").isdigit() for w in ws) / n
+    figures = sum(w.replace(".", "").isdigit() or bool(PERIOD.match(w)) for w in ws) / n
     if figures >= 0.6:  # a row of a table of figures is running text here
         return (len(PRIOR["prose"][0]) - 1, 0, 0, 0, 0, 0), n
     function = sum(w in FUNCTION_WORDS for w in ws) / n
+    level = 1 if n <= 3 and not links and function == 0 else _level(function, 0.06, 0.16, 0.26)  # a few words tell little
+    if level == 0 and ended and not links and reads_as_sentence(line, ws):
+        level = 2
     top = max(Counter(w for w in ws if _content(w)).values(), default=0)
     stuffed = sum(w in heavy for w in ws) / n
-    codes = sum(any(c.isdigit() for c in w) and any(c.isalpha() for c in w) and len(w) >= 5 and w[4] != "q" for w in ws) / n
+    codes = sum(any(c.isdigit() for c in w) and any(c.isalpha() for c in w) and len(w) >= 5 and not PERIOD.match(w) for w in ws) / n
     return (
-        1 if n <= 3 and not links and function == 0 else _level(function, 0.06, 0.16, 0.26),  # a few words tell little
+        level,
         _level(links / n, 0.04, 0.15),
         _level(len(_MARKS.findall(line)) / n, 0.2, 0.34),
-        max(_level(top / n, 0.13, 0.2) if top >= 3 else 0, _level(stuffed, 0.15, 0.25)),
+        max(_level(top / n, 0.13, 0.2) if top >= 3 else 0, _level(stuffed, 0.15, 0.25), 2 if said and len(ws) > 2 and 2 * sum(said[p] >= SAID for p in zip(ws, ws[1:])) > len(ws) else 0),
         _level(codes, 0.15, 0.35),
         int(len(_SHOUT.findall(line)) / n > 0.1),
     ), n
 
 
 def page_lines(text: str) -> list[tuple[tuple[int, ...], int]]:
-    """Features of all lines of a page; words that make up a twelfth of it are overused."""
+    """Features of all lines of a page.
+
+    Words that make up a twelfth of it are overused; word pairs said ``SAID`` times and
+    holding an overused word are too, whatever function words stand among them.
+    """
     lines = lines_of(text)
-    counts = Counter(w for line in lines for w in (x.lower() for x in _WORD.findall(strip_marks(line))))
+    counts: Counter = Counter()
+    said: Counter = Counter()
+    for line, _ in lines:
+        ws = [x.lower() for x in _WORD.findall(strip_marks(line))]
+        counts.update(ws)
+        said.update(zip(ws, ws[1:]))
     total = sum(counts.values())
     heavy = frozenset(w for w, k in counts.items() if k >= 5 and 12 * k >= total and _content(w))
-    return [f for f in (features(line, heavy) for line in lines) if f]
+    said = Counter({p: k for p, k in said.items() if k >= SAID and (p[0] in heavy or p[1] in heavy)})
+    return [f for f in (features(line, ended, heavy, said) for line, ended in lines) if f]
 
 
 def encode(f: tuple[int, ...]) -> int:

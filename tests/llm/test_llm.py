@@ -394,6 +394,18 @@ def test_spam_pages(spark):
     assert spam.label_pages(df.limit(0)).count() == 0
 
 
+def test_spam_in_other_languages_and_padded_keywords(spark):
+    """Prose in a language without listed function words stays; keywords padded with function words do not; periods of a table are no product codes."""
+    finnish = "Puolijohdeteollisuus kasvoi viime vuonna nopeasti koko maassa. Uusi tehdas valmistuu ensi kesänä satamakaupungin laidalle. Yhtiö palkkaa tuotantoon kolmesataa uutta työntekijää syksyyn mennessä. " * 2
+    polish = "Nowa fabryka rozpocznie produkcję na początku przyszłego roku. Zarząd spółki ogłosił wczoraj plan budowy kolejnej linii montażowej. Pracę znajdzie tam kilkuset inżynierów oraz techników z całego regionu."
+    padded = "buy the cheap wafer and the best wafer for you and the wafer is in the shop of the wafer " * 12
+    table = "Sales by period are listed below.\n" + "\n".join(f"{p} {i * 37} {i}.5" for i, p in enumerate(["2015Q3", "FY2016", "2016-Q1", "Q2/2017", "2018H1", "2019W07"] * 4))
+    bad, good = pages()
+    data = [(1, finnish), (2, polish), (3, padded), (4, table)] + [(10 + i, t) for i, t in enumerate(bad * 2 + good * 10)]
+    got = {r.doc_id: r.flagged for r in spam.label_pages(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert [got[k] for k in (1, 2, 3, 4)] == [False, False, True, False]
+
+
 def test_em_keeps_likelihood_and_viterbi_is_exact():
     import itertools
 
