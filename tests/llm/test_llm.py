@@ -86,6 +86,25 @@ def test_consensus_beats_the_weightiest_row(spark):
     assert survive(spark, data, lead=False) == {"a": (2, "ACME LOGIC INC")} and survive(spark, data, lead=True) == {"a": (1, "ACNE LOGIC GMBH")}
 
 
+def test_lead_needs_no_votes(spark):
+    """Trust and recency alone decide, whatever a vote would be: ranks of zero and below, whose inverse is none or negative."""
+    rng = random.Random(3)
+    data = [(i, f"g{rng.randrange(40)}" if i % 3 else "hot", rng.choice([None, "A", "A B", "B C", "!!"]), rng.randrange(-2, 4), rng.choice([None, TS(2020, 1, 1), TS(2020, 1, 2)]), "") for i in range(240)]
+    want = {}
+    for g in {r[1] for r in data}:
+        group = [r for r in data if r[1] == g]
+        if len(group) > 1 and any(r[2] for r in group):
+            best = min((r for r in group if r[2]), key=lambda r: (r[3], -(r[4] or TS(1970, 1, 1)).timestamp(), r[0]))
+            want[g] = (best[0], best[2])
+    assert survive(spark, data) == want
+
+
+def test_p1_found_runs_no_consensus(spark, sf):
+    """Its rows are settled by trust and recency: neither votes nor alignments are computed."""
+    plans = {n: queries.QUERIES[n](spark, sf)._jdf.queryExecution().optimizedPlan().toString() for n in ("p1_found", "p1_consensus")}
+    assert "MapInPandas" not in plans["p1_found"] and "MapInPandas" in plans["p1_consensus"]
+
+
 def test_order_of_a_source_does_not_depend_on_buckets(spark, monkeypatch):
     sized = spark.createDataFrame([(i, "a", 1 + i % 7) for i in range(300)], "doc_id bigint, src string, tokens bigint")
     t = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
