@@ -1,7 +1,8 @@
 """Regime models per entity: the only grouped Python code of the panel engine.
 
 An entity's series is bounded by the calendar, so one row per entity carries it as
-arrays; entities are spread over the tasks and fitted independently.
+arrays; entities are spread over the tasks and fitted independently, by the kernel in the
+executors' JVM; Python writes its problems and reads its solutions.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.dates import q_label
-from panelforge.models import hmm
+from panelforge.models import hmm, kernel
 
 FIT_SCHEMA = (
     "ticker string, model string, family string, n_states int, means array<array<double>>, dispersion_r double, transmat array<array<double>>, expected_durations_q array<double>, log_likelihood double, "
@@ -44,22 +45,43 @@ def series(df: DataFrame, key: str, q: str, columns: list[str]) -> DataFrame:
     return out.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("ticker"))
 
 
-ENTITIES_AT_ONCE = 256  # entities whose fits share arrays; bounds memory, results do not depend on it
+ENTITIES_AT_ONCE = 32  # entities whose problems are held at once; bounds memory, results do not depend on it
 
 
 def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of a task in groups of a bounded number, whatever the sizes of the batches."""
-    held, size = [], 0
+    """The rows of a task in groups of a bounded number."""
     for pdf in batches:
-        held.append(pdf)
-        size += len(pdf)
-        while size >= ENTITIES_AT_ONCE:
-            whole = pd.concat(held, ignore_index=True)
-            yield whole.iloc[:ENTITIES_AT_ONCE]
-            held = [whole.iloc[ENTITIES_AT_ONCE:]]
-            size = len(held[0])
-    if size:
-        yield pd.concat(held, ignore_index=True)
+        for lo in range(0, len(pdf), ENTITIES_AT_ONCE):
+            yield pdf.iloc[lo : lo + ENTITIES_AT_ONCE]
+
+
+TODO = ["ticker", "qs", "models", "families", "states", "problems"]
+TODO_SCHEMA = "ticker string, qs array<int>, models array<string>, families array<string>, states array<int>, problems binary"
+
+
+def _fitted(rows: DataFrame, plan, runs: int) -> DataFrame:
+    """One row per entity and model. ``plan``: an entity's row to (model, channels, states, channel that orders, seed) of each fit."""
+
+    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _groups(batches):
+            out = []
+            for r in pdf.itertuples(index=False):
+                todo = list(plan(r))
+                if todo:
+                    problems = kernel.written([hmm.Problem(chans, k, by, runs, seed) for _, chans, k, by, seed in todo])
+                    out.append((r.ticker, r.qs, [t[0] for t in todo], ["+".join(c.family for c in t[1]) for t in todo], [t[2] for t in todo], problems))
+            yield pd.DataFrame(out, columns=TODO)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _groups(batches):
+            out = []
+            for r in pdf.itertuples(index=False):
+                shapes = [([(str(i), f) for i, f in enumerate(family.split("+"))], int(k), len(r.qs), runs) for family, k in zip(r.families, r.states)]
+                out += [_row(r.ticker, model, family, r.qs, f) for model, family, f in zip(r.models, r.families, kernel.read(r.problems, shapes))]
+            yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in FIT_SCHEMA.split(", ")])
+
+    todo = rows.mapInPandas(prepare, TODO_SCHEMA)
+    return todo.withColumn("problems", kernel.solved(rows.sparkSession, F.col("problems"))).mapInPandas(finish, FIT_SCHEMA)
 
 
 def _row(ticker: str, model: str, family: str, qs, f: hmm.Fit) -> dict:
@@ -89,21 +111,14 @@ def fit_regimes(counts: DataFrame, runs: int = 20, models: tuple[str, ...] = ())
     ``models`` names those wanted (none named: all four).
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _groups(batches):
-            heads, todo = [], []
-            for t, qs, n in zip(pdf["ticker"], pdf["qs"], pdf["n"]):
-                y = _arr(n)
-                if not usable(y):
-                    continue
-                for model, family, k in (("nb2", "nb", 2), ("nb3", "nb", 3), ("po2", "poisson", 2), ("ga2", "normal", 2)):
-                    if models and model not in models:
-                        continue
-                    heads.append((t, model, family, qs))
-                    todo.append(hmm.Problem([hmm.Channel("count", family, np.log1p(y) if family == "normal" else y)], k, None, runs, seed_of(t, model)))
-            yield pd.DataFrame([_row(*h, f) for h, f in zip(heads, hmm.fit_many(todo))], columns=[c.strip().split(" ")[0] for c in FIT_SCHEMA.split(", ")])
+    def plan(r):
+        y = _arr(r.n)
+        if usable(y):
+            for model, family, k in (("nb2", "nb", 2), ("nb3", "nb", 3), ("po2", "poisson", 2), ("ga2", "normal", 2)):
+                if not models or model in models:
+                    yield model, [hmm.Channel("count", family, np.log1p(y) if family == "normal" else y)], k, None, seed_of(r.ticker, model)
 
-    return series(counts, "ticker", "q", ["n"]).mapInPandas(work, FIT_SCHEMA)
+    return _fitted(series(counts, "ticker", "q", ["n"]), plan, runs)
 
 
 def fin_usable(gm: np.ndarray, yoy: np.ndarray) -> bool:
@@ -118,21 +133,16 @@ def fit_ablation(grid: DataFrame, runs: int = 20, states: tuple[int, ...] = (2,
     ``grid``: ticker, q, n, gm, yoy; nulls are missing quarters.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _groups(batches):
-            heads, todo = [], []
-            for t, qs, n, gm, yoy in zip(pdf["ticker"], pdf["qs"], pdf["n"], pdf["gm"], pdf["yoy"]):
-                y, g, z = _arr(n), _arr(gm), _arr(yoy)
-                a = [hmm.Channel("patent_count", "nb", y)] if usable(y) else []
-                b = [hmm.Channel("gross_margin", "normal", g), hmm.Channel("revenue_yoy", "normal", z)] if fin_usable(g, z) else []
-                for k in states:
-                    for model, chans, by in (("A", a, "patent_count"), ("B", b, "gross_margin"), ("C", a + b if a and b else [], "patent_count")):
-                        if chans:
-                            heads.append((t, f"{model}{k}", "+".join(c.family for c in chans), qs))
-                            todo.append(hmm.Problem(chans, k, by, runs, seed_of(t, model, k)))
-            yield pd.DataFrame([_row(*h, f) for h, f in zip(heads, hmm.fit_many(todo))], columns=[c.strip().split(" ")[0] for c in FIT_SCHEMA.split(", ")])
+    def plan(r):
+        y, g, z = _arr(r.n), _arr(r.gm), _arr(r.yoy)
+        a = [hmm.Channel("patent_count", "nb", y)] if usable(y) else []
+        b = [hmm.Channel("gross_margin", "normal", g), hmm.Channel("revenue_yoy", "normal", z)] if fin_usable(g, z) else []
+        for k in states:
+            for model, chans, by in (("A", a, "patent_count"), ("B", b, "gross_margin"), ("C", a + b if a and b else [], "patent_count")):
+                if chans:
+                    yield f"{model}{k}", chans, k, by, seed_of(r.ticker, model, k)
 
-    return series(grid, "ticker", "q", ["n", "gm", "yoy"]).mapInPandas(work, FIT_SCHEMA)
+    return _fitted(series(grid, "ticker", "q", ["n", "gm", "yoy"]), plan, runs)
 
 
 def fit_states(fits: DataFrame) -> DataFrame:
@@ -195,22 +205,30 @@ def expanding_fits(grid: DataFrame, ticks: list[int], weights: tuple[float, ...]
             for w in weights:
                 yield f"Cw_{w}", [hmm.Channel("patent_count", "nb", feas, w), *rest], "gross_margin"
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _groups(batches):
-            rows = [(r.ticker, (np.array(r.qs), *(_arr(getattr(r, c)) for c in ("n", "gm", "gm_known", "yoy", "yoy_known")))) for r in pdf.itertuples(index=False)]
-            warm: dict[tuple[str, str], hmm.Params] = {}
-            # all models of all entities of a tick are one batch of arrays; the next tick starts from their solutions
-            for t in ticks:
-                heads, todo = [], []
-                for ticker, r in rows:
+            out = []
+            for e in pdf.itertuples(index=False):
+                r = (np.array(e.qs), *(_arr(getattr(e, c)) for c in ("n", "gm", "gm_known", "yoy", "yoy_known")))
+                heads, todo, warm, last = [], [], [], {}
+                for t in ticks:
                     for key, chans, by in problems(r, t):
-                        heads.append((ticker, key))
-                        todo.append(hmm.Problem(chans, 2, by, first_runs, seed_of(ticker, key, f"{t // 4}Q{t % 4 + 1}"), warm.get((ticker, key))))
-                fits = hmm.fit_many(todo, max_iter)
-                warm.update({h: f.params for h, f in zip(heads, fits)})
-                yield pd.DataFrame([(tk, t, key, float(f.filtered[-1, 1])) for (tk, key), f in zip(heads, fits)], columns=["ticker", "q", "model", "p_high"])
+                        warm.append(last.get(key, -1))
+                        last[key] = len(todo)
+                        heads.append((t, key))
+                        todo.append(hmm.Problem(chans, 2, by, first_runs, seed_of(e.ticker, key, f"{t // 4}Q{t % 4 + 1}")))
+                if todo:
+                    out.append((e.ticker, [t for t, _ in heads], [key for _, key in heads], kernel.written(todo, warm, max_iter, brief=True)))
+            yield pd.DataFrame(out, columns=["ticker", "qs", "models", "problems"])
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = [len(q) for q in pdf["qs"]]
+            p = [np.frombuffer(x, dtype="<f8") for x in pdf["problems"]]
+            yield pd.DataFrame({"ticker": np.repeat(pdf["ticker"].to_numpy(), n), "q": np.concatenate([*pdf["qs"], []]).astype(int), "model": np.concatenate([*pdf["models"], []]), "p_high": np.concatenate([*p, []])})
 
-    return series(grid, "ticker", "q", ["n", "gm", "gm_known", "yoy", "yoy_known"]).mapInPandas(work, "ticker string, q int, model string, p_high double")
+    todo = series(grid, "ticker", "q", ["n", "gm", "gm_known", "yoy", "yoy_known"]).mapInPandas(prepare, "ticker string, qs array<int>, models array<string>, problems binary")
+    return todo.withColumn("problems", kernel.solved(grid.sparkSession, F.col("problems"))).mapInPandas(finish, "ticker string, q int, model string, p_high double")
 
 
 def wide_probabilities(probs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
