@@ -70,3 +70,28 @@ def test_every_regime_operator_fits_in_the_kernel(spark):
     grid = spark.createDataFrame([], "ticker string, q int, n int, gm double, gm_known int, yoy double, yoy_known int")
     for out in (regimes.expanding_fits(grid, [1, 2]), regimes.fit_ablation(grid), regimes.fit_regimes(grid)):
         assert "panelforge_em" in out._jdf.queryExecution().toString() and out.count() == 0
+
+
+def test_every_number_of_states(spark):
+    """Two and three states have passes of their own, more go through the general one; the data of a channel are looked at once for all its weights."""
+    n, g, z = _series(5)
+    count = hmm.Channel("n", "nb", n)
+    todo = [hmm.Problem([count.weighted(w), hmm.Channel("g", "normal", g), hmm.Channel("z", "normal", z)], k, "n", 3, k) for k in (2, 3, 4) for w in (1.0, 0.25)]
+    shapes = [([(c.name, c.family) for c in p.channels], p.n_states, 50, 3) for p in todo]
+    got = kernel.read(_solved(spark, kernel.written(todo, max_iter=40)), shapes)
+    assert count.weight == 1.0 and set(count.spreads) == {2, 3, 4}
+    for a, b in zip(got, hmm.fit_many(todo, 40), strict=True):
+        assert np.allclose(a.run_logliks, b.run_logliks, rtol=1e-8) and np.allclose(a.smoothed, b.smoothed, atol=1e-5) and a.path.tolist() == b.path.tolist()
+
+
+def test_log1p_of_every_range(spark):
+    made = kernel._loader(spark).loadClass("panelforge.EmKernel")
+    double = spark._jvm.java.lang.Double.TYPE
+    types = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.Class, 1)
+    types[0] = double
+    f = made.getDeclaredMethod("log1p", types)
+    f.setAccessible(True)
+    for x in (0.0, 1e-12, 3e-6, 9.99e-5, 1e-4, 0.01, 0.49, 0.51, 7.0, 1e9):
+        args = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.Object, 1)
+        args[0] = x
+        assert f.invoke(None, args) == pytest.approx(np.log1p(x), rel=5e-16)
