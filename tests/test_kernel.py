@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.models import hmm, kernel
 from panelforge.operators import regimes
+from panelforge.plans import boards_catalog, catalog
 
 
 def _series(seed: int, t: int = 50, factor: float = 1.0):
@@ -95,3 +96,13 @@ def test_log1p_of_every_range(spark):
         args = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.Object, 1)
         args[0] = x
         assert f.invoke(None, args) == pytest.approx(np.log1p(x), rel=5e-16)
+
+
+def test_regime_board_takes_its_probabilities_from_the_kernel(spark, sf, monkeypatch):
+    """The board's fits are those of expanding_hmm, and they are not NumPy's."""
+    got = []
+    assert boards_catalog.expanding_hmm is catalog.expanding_hmm
+    monkeypatch.setattr(boards_catalog.regimes, "wide_probabilities", lambda probs, *a: got.append(probs) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        boards_catalog.regime_board(spark, sf)
+    assert "panelforge_em" in got[0]._jdf.queryExecution().toString()
